@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_crf import judge_documents
+
+    return judge_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls, rule_table
 
@@ -36,10 +42,32 @@ def op7_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(ready(spark), table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op8_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .unigram_count import count_tokens
+
+    return count_tokens(spark, table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(spark, table(spark, sf_dir, "pages"), least=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_crf_quality": op1_crf_quality,
     "op2_url_filter": op2_url_filter,
     "op4_plane_tokens": op4_plane_tokens,
     "op7_hash_ring": op7_hash_ring,
+    "op8_certified_packing": op8_certified_packing,
+    "op9_trie_token_counts": op9_trie_token_counts,
+    "op10_warc_segments": op10_warc_segments,
 }
 
 def _url_sql() -> str:
