@@ -36,6 +36,12 @@ def op4_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), kind="word", end_id=1)
 
 
+def op5_blockmax_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_contaminated
+
+    return find_contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ring import shard_documents
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_quality": op1_crf_quality,
     "op2_url_filter": op2_url_filter,
     "op4_plane_tokens": op4_plane_tokens,
+    "op5_blockmax_decontamination": op5_blockmax_decontamination,
     "op7_hash_ring": op7_hash_ring,
     "op8_certified_packing": op8_certified_packing,
     "op9_trie_token_counts": op9_trie_token_counts,
