@@ -30,6 +30,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark, pages, rule_table(spark, RULES)).drop("url")
 
 
+def op3_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_forest import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import round_trip
 
@@ -69,6 +75,7 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_quality": op1_crf_quality,
     "op2_url_filter": op2_url_filter,
+    "op3_simhash_forest": op3_simhash_forest,
     "op4_plane_tokens": op4_plane_tokens,
     "op5_blockmax_decontamination": op5_blockmax_decontamination,
     "op7_hash_ring": op7_hash_ring,
