@@ -48,6 +48,12 @@ def op5_blockmax_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removed_bytes
+
+    return removed_bytes(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ring import shard_documents
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_forest": op3_simhash_forest,
     "op4_plane_tokens": op4_plane_tokens,
     "op5_blockmax_decontamination": op5_blockmax_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_hash_ring": op7_hash_ring,
     "op8_certified_packing": op8_certified_packing,
     "op9_trie_token_counts": op9_trie_token_counts,
