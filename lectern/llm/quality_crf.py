@@ -151,13 +151,6 @@ def repeat_words(words_of: list[list[bytes]], width: int = 5) -> np.ndarray:
     return np.bincount(doc, weights=covered, minlength=len(words_of)).astype(np.int64)
 
 
-def _grid(n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each line in a (texts x longest) grid."""
-    row = np.repeat(np.arange(len(n_lines)), n_lines)
-    begin = np.cumsum(n_lines) - n_lines
-    return row, np.arange(int(n_lines.sum())) - np.repeat(begin, n_lines)
-
-
 def viterbi(score: np.ndarray, n_lines: np.ndarray, model: Model) -> np.ndarray:
     """Best label of each line; ``score`` is the lines' emission score of boilerplate against content. Ties go to content.
 
@@ -195,24 +188,34 @@ def viterbi(score: np.ndarray, n_lines: np.ndarray, model: Model) -> np.ndarray:
     return labels
 
 
-def _marginals(score, n_lines, model):
-    """Expected labels and steps of all lines (forward-backward on a padded grid, for fitting only)."""
-    row, col = _grid(n_lines)
-    d, t = len(n_lines), int(n_lines.max())
-    e = np.zeros((d, t, 2))
-    e[row, col, 1] = score
-    live = np.arange(t)[None, :] < n_lines[:, None]
-    add = lambda x, axis: np.logaddexp.reduce(x, axis=axis)
-    f, b = np.zeros((d, t, 2)), np.zeros((d, t, 2))
-    f[:, 0] = model.start + e[:, 0]
-    for i in range(1, t):
-        f[:, i] = np.where(live[:, i, None], add(f[:, i - 1, :, None] + model.steps, 1) + e[:, i], f[:, i - 1])
-    for i in range(t - 2, -1, -1):
-        b[:, i] = np.where(live[:, i + 1, None], add(model.steps + (e[:, i + 1] + b[:, i + 1])[:, None, :], 2), b[:, i + 1] * 0)
-    z = add(f[:, -1], 1)
-    node = np.exp(f + b - z[:, None, None])
-    pair = np.exp(f[:, :-1, :, None] + model.steps + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * live[:, 1:, None, None]
-    return node[row, col, 1], pair.sum((0, 1)), node[:, 0].sum(0)
+def _marginals(score, begin, alive, model):
+    """Expected labels of all lines, steps and first labels. Runs of lines are given longest first: ``begin`` of each, and how many have a line t.
+
+    Forward and backward messages are probabilities, normalised at each line.
+    """
+    step, up = np.exp(model.steps), np.exp(np.clip(score, -30, 30))
+    n = len(alive)
+    forward, scale = np.empty((len(score), 2)), np.empty(len(score))
+    for t in range(n):
+        at = begin[: alive[t]] + t
+        f = forward[at - 1] @ step if t else np.broadcast_to(np.exp(model.start), (len(at), 2)).copy()
+        f[:, 1] *= up[at]
+        scale[at] = f.sum(1)
+        forward[at] = f / scale[at][:, None]
+    node, pairs = np.empty(len(score)), np.zeros((2, 2))
+    back = np.ones((len(begin), 2))
+    for t in range(n - 1, -1, -1):
+        k = alive[t]
+        at = begin[:k] + t
+        b = back[:k]
+        node[at] = forward[at, 1] * b[:, 1]
+        if t:
+            b = b / scale[at][:, None]
+            b[:, 1] *= up[at]
+            pairs += step * (forward[at - 1].T @ b)
+            back[:k] = b @ step.T
+    first = node[begin]
+    return node, pairs, np.array([len(begin) - first.sum(), first.sum()])
 
 
 def fit(feats: np.ndarray, n_lines: np.ndarray, chars: np.ndarray, quality: np.ndarray, rounds: int = 3, steps: int = 60) -> Model:
@@ -223,9 +226,11 @@ def fit(feats: np.ndarray, n_lines: np.ndarray, chars: np.ndarray, quality: np.n
         return fallback()
     labels = (quality[doc] == 0).astype(np.int8)
     model = Model(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2))
-    # Long texts are cut into runs of 64 lines for fitting, so that the padded grid stays small.
+    # Long texts are cut into runs of 64 lines for fitting, so that steps work on many at once.
     cut = np.concatenate([[min(64, n - a) for a in range(0, n, 64)] for n in n_lines if n]).astype(np.int64)
     begin = np.cumsum(cut) - cut
+    longest_first = np.argsort(-cut, kind="stable")
+    runs, alive = begin[longest_first], np.searchsorted(-cut[longest_first], -np.arange(int(cut.max())), "left")
     weight = 1.0 / len(labels)
     for r in range(rounds):
         inner = np.ones(len(labels), bool)
@@ -237,7 +242,7 @@ def fit(feats: np.ndarray, n_lines: np.ndarray, chars: np.ndarray, quality: np.n
         seen = feats.T @ labels
         m = [np.zeros(N_FEATURES + 6), np.zeros(N_FEATURES + 6)]
         for k in range(1, steps + 1):
-            p, pairs, first = _marginals(feats @ model.weights, cut, model)
+            p, pairs, first = _marginals(feats @ model.weights, runs, alive, model)
             g = np.concatenate([(seen - feats.T @ p) * weight - 1e-4 * model.weights, ((seen_steps - pairs) * weight).ravel() - 1e-4 * model.steps.ravel(), (seen_start - first) * weight])
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
