@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"([\p{L}\p{Nl}\p{No}]{2,})"
 #: White space as Python's str.split() sees it.
@@ -49,7 +50,7 @@ def mostly(x: Column, default: Column) -> Column:
     return F.coalesce(x, default)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility normalisation, which Spark has no function for."""
     import unicodedata
@@ -57,12 +58,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts."""
     from difflib import SequenceMatcher
@@ -70,7 +71,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def longest_increasing(items: pd.Series) -> pd.Series:
     """Length of the longest strictly increasing subsequence of an array of numbers."""
     from bisect import bisect_left
