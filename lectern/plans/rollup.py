@@ -139,7 +139,7 @@ def results(facts: Facts, findings: DataFrame) -> DataFrame:
     g = findings.groupBy("doc_id").agg(n("error"), n("warning"), n("info"))
     z = lambda c: F.coalesce(c, F.lit(0))
     verdict = F.when(F.col("error").isNotNull(), "unreadable").otherwise(k.verdict(z("errors"), z("warnings")))
-    d = facts.docs.join(g, "doc_id", "left").join(facts.features, "doc_id", "left")
+    d = getattr(facts, "reported", facts.docs).join(g, "doc_id", "left").join(facts.features, "doc_id", "left")
     return d.select("doc_id", "path", "error", "n_pages", "has_struct", z("errors").alias("errors"), z("warnings").alias("warnings"), z("info").alias("info"), verdict.alias("verdict"), F.map_filter("features", lambda _, v: v).alias("features"))
 
 
