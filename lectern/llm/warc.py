@@ -27,7 +27,6 @@ CHUNK = 8192
 SEGMENT = 32 << 10
 VOLUME = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_LARGEST = 1 << 30
 
 
 def record_id(page_id: int | None, copy: int) -> str:
