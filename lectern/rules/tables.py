@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from .base import all_of, boxes_in_order, findings, page_box, rule, say, texts_in_order
@@ -82,17 +84,16 @@ def row_widths(rows, strict: bool = False) -> list[int]:
     return widths
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def widths(grids: pd.Series) -> pd.Series:
+    return grids.map(lambda grid: row_widths([[tuple(s) for s in row] for row in grid]))
+
+
 @rule("TBL-004")
 def uneven(t):
     rows = F.transform(F.sort_array(F.collect_list(F.struct("row_ord", "spans"))), lambda r: F.coalesce(F.transform(r["spans"], lambda s: F.array(s["colspan"], s["rowspan"])), F.array().cast("array<array<int>>")))
     g = by_row(t).groupBy("doc_id", "table_ord").agg(rows.alias("grid")).where("size(grid) >= 2")
 
-    @F.pandas_udf("array<int>")
-    def widths(grids: "pd.Series") -> "pd.Series":  # noqa: F821
-        from lectern.rules.tables import row_widths
-
-        return grids.map(lambda g: row_widths([[tuple(s) for s in r] for r in g]))
-
     g = g.withColumn("w", widths("grid")).where(F.array_min("w") != F.array_max("w"))
     return _of_tables(t, g, say("rows take from ", F.array_min("w").cast("string"), " to ", F.array_max("w").cast("string"), " columns"), evidence=F.concat_ws(", ", F.slice("w", 1, 12)))
 
