@@ -104,4 +104,14 @@ def _url_sql() -> str:
     from cut"""
 
 
-SQL: dict[str, str] = {"op2_url_filter": _url_sql()}
+#: Five hex digits of a SHA-1 at a time are four base-32 letters.
+_WARC_SQL = """
+with p as (select page_id, coalesce(html, '') html from pages),
+d as (select page_id, octet_length(encode(html))::bigint payload_bytes, sha1(html) h from p),
+b as (select page_id, payload_bytes, h, array_to_string(list_transform(range(8), lambda i:
+        array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * i::int + 1, 5))::int >> k) & 31), 1)), '')), '') payload_digest,
+      max(page_id) over (partition by h) top from d)
+select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end record_type,
+       case when page_id = top then null else top end refers_to from b"""
+
+SQL: dict[str, str] = {"op2_url_filter": _url_sql(), "op10_warc_segments": _WARC_SQL}
