@@ -36,7 +36,7 @@ def _ids(values: list[str]) -> list[str]:
 def main(argv: list[str] | None = None, spark=None) -> int:
     for stream in (sys.stdout, sys.stderr):
         if hasattr(stream, "reconfigure"):
-            stream.reconfigure(encoding="utf-8", errors="replace")
+            stream.reconfigure(errors="replace", encoding="utf-8")
     a = parser().parse_args(argv)
     from . import sinks
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEVERITY_RANK = {"error": 0, "warning": 1, "info": 2}
-
 
 def severity_rank(c: Column) -> Column:
     return F.when(c == "error", 0).when(c == "warning", 1).otherwise(2)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import patterns
 from .functions import text as tx
 from .operators import kernels as k
 from .sources.pages import page_facts
@@ -17,7 +18,7 @@ from .sources.pages import page_facts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-LANG = r"^(x|[A-Za-z]{2,3})(-[A-Za-z0-9]{1,8})*$"
+LANG = patterns.LANGUAGE
 EMAIL = r"([A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+)"
 _WS = r"[ \t\r\n]+"
 
@@ -46,23 +47,23 @@ def _title_problem(title: Column) -> Column:
     low = F.lower(title)
     return (
         F.when(title == "", "missing")
-        .when(low.rlike(r"\.(pdf|docx?|pptx?|xlsx?|indd|ai|psd)$"), "file name")
+        .when(low.rlike(patterns.FILE_ENDING), "file name")
         .when(~title.contains(" ") & title.contains("_"), "file name")
-        .when(low.startswith("microsoft word - ") | low.startswith("microsoft powerpoint - "), "window title")
-        .when(low.isin("untitled", "untitled document", "document", "document1", "new document", "title"), "placeholder")
-        .when(title.rlike(r"^\d{1,2}[./-]\d{1,2}[./-]\d{2,4}$|^\d{4}-\d{2}-\d{2}$"), "date")
-        .when(title.rlike(r"^\p{Ll}") & title.rlike(r"[,;:–-]$"), "fragment")
+        .when(low.rlike(patterns.WINDOW_TITLE), "window title")
+        .when(low.isin(*patterns.NO_TITLE), "placeholder")
+        .when(title.rlike(patterns.DATE), "date")
+        .when(title.rlike(r"^\p{Ll}") & title.rlike(patterns.FRAGMENT_END), "fragment")
         .when(F.length(title) > 200, "too long")
     )
 
 
-_TITLE_CASE = r"""case when title = '' then 'missing'
-  when regexp_matches(lower(title), '\.(pdf|docx?|pptx?|xlsx?|indd|ai|psd)$') then 'file name'
+_TITLE_CASE = rf"""case when title = '' then 'missing'
+  when regexp_matches(lower(title), '{patterns.FILE_ENDING}') then 'file name'
   when not contains(title, ' ') and contains(title, '_') then 'file name'
-  when starts_with(lower(title), 'microsoft word - ') or starts_with(lower(title), 'microsoft powerpoint - ') then 'window title'
-  when lower(title) in ('untitled', 'untitled document', 'document', 'document1', 'new document', 'title') then 'placeholder'
-  when regexp_matches(title, '^\d{1,2}[./-]\d{1,2}[./-]\d{2,4}$|^\d{4}-\d{2}-\d{2}$') then 'date'
-  when regexp_matches(title, '^\p{Ll}') and regexp_matches(title, '[,;:–-]$') then 'fragment'
+  when regexp_matches(lower(title), '{patterns.WINDOW_TITLE}') then 'window title'
+  when lower(title) in {patterns.NO_TITLE} then 'placeholder'
+  when regexp_matches(title, '{patterns.DATE}') then 'date'
+  when regexp_matches(title, '^\p{{Ll}}') and regexp_matches(title, '{patterns.FRAGMENT_END}') then 'fragment'
   when length(title) > 200 then 'too long' end"""
 
 

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import patterns
 from ..functions import text as tx
 from .base import all_of, boxes_in_order, findings, page_box, rule, say, texts_in_order
 
 PRINT, HIDDEN, NOVIEW = 4, 2, 32
-ADDRESS = r"(?i)(https?://\S+|www\.[a-z0-9\-]+\.[a-z]{2,}\S*|(?U:[\w.+-]+@[\w-]+\.[\w.-]+)\.?)"
-GENERATED = r"(?i)^(?:(?:text|check|check ?box|button|radio|combo|list|field|fill|untitled)[ _\-]?\d*|(?:date|name|signature)[ _\-]?\d+)$"
-
 
 def _annots(t):
     a = t.annotations
@@ -77,7 +75,7 @@ def untagged_annotations(t):
 
 @rule("LNK-010")
 def unlinked(t):
-    r = t.runs.where("not artifact").withColumn("found", F.regexp_extract("text", ADDRESS, 1)).where("found <> ''").withColumn("found", F.regexp_replace("found", r"[.,;)]+$", ""))
+    r = t.runs.where("not artifact").withColumn("found", F.regexp_extract("text", patterns.ADDRESS, 1)).where("found <> ''").withColumn("found", F.regexp_replace("found", r"[.,;)]+$", ""))
     a = _annots(t).where("subtype = 'Link'").select(F.col("doc_id").alias("d"), F.col("page").alias("p"), "l", "b", "r", "u")
     bad = r.join(a, (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & F.expr("x1 > l and x0 < r and y1 > b and y0 < u"), "left_anti")
     g = bad.groupBy("doc_id", "page").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("run_seq", "found"))), lambda x: x["found"])).alias("u"), boxes_in_order("run_seq", page_box()).alias("bx"))
@@ -96,7 +94,7 @@ def unnamed(t):
 
 @rule("FRM-002")
 def generated_names(t):
-    bad = _widgets(t).where(~tx.blank(F.col("field_tu"))).where(F.trim("field_tu").rlike(GENERATED))
+    bad = _widgets(t).where(~tx.blank(F.col("field_tu"))).where(F.trim("field_tu").rlike(patterns.GENERATED))
     return _report(bad, lambda n, _: say(n, " form field(s) have a generated id for a name"), texts_in_order("seq", "field_tu", 4, 20))
 
 

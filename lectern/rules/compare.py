@@ -8,12 +8,12 @@ from ..functions import text as tx
 from ..operators import kernels as k
 from .base import findings, rule, say
 
-KINDS = ("heading", "Table", "L", "Figure", "Formula", "Link", "Note")
+KINDS = tuple("Figure Formula L Link Note Table".split())
 
 
 @rule("SEM-001")
 def structure(t):
-    kind = F.when(F.col("type").rlike("^H([1-9][0-9]*)?$"), "heading").when(F.col("type").isin(*KINDS[1:]), F.col("type"))
+    kind = F.when(F.col("type").rlike("^H([1-9][0-9]*)?$"), "heading").when(F.col("type").isin(*KINDS), F.col("type"))
     counts = t.elements.withColumn("kind", kind).where("kind is not null").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
     sources = t.pairs.join(t.docs.where("has_struct").select(F.col("doc_id").alias("source_id")), "source_id")
     was = sources.join(counts.select(F.col("doc_id").alias("source_id"), "kind", F.col("n").alias("was")), "source_id")

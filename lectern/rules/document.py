@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import patterns
 from ..functions import text as tx
 from .base import findings, rule, say
 
@@ -66,12 +67,12 @@ def language(t):
 @rule("DOC-014")
 def language_tag(t):
     lang = F.trim("lang")
-    bad = t.docs.where((lang != "") & ~lang.rlike(r"^(x|[A-Za-z]{2,3})(-[A-Za-z0-9]{1,8})*$"))
+    bad = t.docs.where((lang != "") & ~lang.rlike(patterns.LANGUAGE))
     return findings(bad, say("'", lang, "' is no language tag"), evidence=lang)
 
 
 @rule("DOC-015")
-def titles_agree(t):
+def two_titles(t):
     a, b = tx.collapse(F.col("xmp_title")), tx.collapse(F.col("info_title"))
     bad = t.docs.where((a != "") & (b != "")).where(tx.casefold(a) != tx.casefold(b))
     return findings(bad, "the titles of the Info dictionary and of the XMP metadata differ", evidence=say("Info: ", F.substring(b, 1, 60), "; XMP: ", F.substring(a, 1, 60)))
@@ -113,12 +114,12 @@ def title_quality(t):
     low = F.lower(title)
     stem = F.lower(F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", ""))
     reason = (
-        F.when(low.rlike(r"\.(pdf|docx?|pptx?|xlsx?|indd|ai|psd)$"), "a file name with its ending")
+        F.when(low.rlike(patterns.FILE_ENDING), "a file name with its ending")
         .when(~title.contains(" ") & ((low == stem) | title.contains("_")), "the file name")
-        .when(low.startswith("microsoft word - ") | low.startswith("microsoft powerpoint - "), "an application's window title")
-        .when(low.isin("untitled", "untitled document", "document", "document1", "new document", "title"), "a placeholder")
-        .when(title.rlike(r"^\s*\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\s*$|^\s*\d{4}-\d{2}-\d{2}\s*$"), "a date")
-        .when(title.rlike(r"^\p{Ll}") & title.rlike("[,;:–-]$"), "part of a sentence")
+        .when(low.rlike(patterns.WINDOW_TITLE), "an application's window title")
+        .when(low.isin(*patterns.NO_TITLE), "a placeholder")
+        .when(title.rlike(patterns.DATE), "a date")
+        .when(title.rlike(r"^\p{Ll}") & title.rlike(patterns.FRAGMENT_END), "part of a sentence")
         .when(F.length(title) > 200, "longer than 200 characters")
     )
     rows = t.docs.where(title != "").withColumn("why", reason).where("why is not null")

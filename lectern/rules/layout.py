@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns
 from ..functions import text as tx
 from .base import boxes_in_order, findings, page_box, rule, say
 
-BARE_NUMBER = r"(?i)^\s*(page\s*)?\d{1,4}(\s*(of|/)\s*\d{1,4})?\s*$"
-
 
 @rule("ORD-001")
 def order(t):
@@ -38,7 +37,7 @@ def running_lines(t):
     need = F.when(F.col("n_pages") >= 6, 3).otherwise(F.col("n_pages"))
     h = F.coalesce(F.nullif("height", F.lit(0.0)), F.lit(792.0))
     ln = t.lines.where("tagged_share >= 0.8").join(t.pages.select("doc_id", "page", h.alias("h")), ["doc_id", "page"]).where("y0 >= 0.88 * h or y1 <= 0.12 * h").join(t.tagged_docs.where("n_pages >= 3"), "doc_id")
-    ln = ln.withColumn("line", F.trim("text")).withColumn("number", F.col("line").rlike(BARE_NUMBER)).withColumn("key", tx.furniture_key(F.col("line"))).withColumn("at", F.struct("page", "line_no"))
+    ln = ln.withColumn("line", F.trim("text")).withColumn("number", F.col("line").rlike(patterns.BARE_NUMBER)).withColumn("key", tx.furniture_key(F.col("line"))).withColumn("at", F.struct("page", "line_no"))
     keys = ln.where("not number and length(key) >= 4").groupBy("doc_id", "key", "n_pages").agg(F.countDistinct("page").alias("n"), F.min("page").alias("p"), F.min("at").alias("at"), F.min_by("line", "at").alias("line"), F.min_by(page_box(), "at").alias("box")).where(F.col("n") >= need)
     lines = F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
     a = keys.groupBy("doc_id", "n_pages").agg(F.count("*").alias("k"), F.min("p").alias("p"), lines.alias("lines"), boxes_in_order("at").alias("bx"))

@@ -5,20 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import patterns
 from ..functions import text as tx
 from ..operators import kernels as k
 from .base import all_of, boxes_in_order, each_of, findings, rule, say, texts_in_order
 
-_SALUTATION = r"(?i)^(dear|hi|hello|to whom it may concern|yours (faithfully|sincerely|truly)|regards|sincerely|best regards|thank you)\b"
-_REFERENCE = r"(?iU)^(ref(erence)?\.?|no\.?|file)\s*[:#]?\s*[\w/\-]*\d[\w/\-]*$|^[\w/\-]*\d[\w/\-]*$"
-_PLACEHOLDER = (
-    r"(?i)^\s*(image|picture|photo|graphic|figure|img|pic|logo|icon|screenshot|chart|diagram|untitled|no description)?\s*[-_ ]?\d*\s*$"
-    r"|\.(png|jpe?g|gif|bmp|tiff?|svg|eps|webp)$|^img[_\-]?\d+|^\d+$|\\[a-z]+\{|<math|^\s*[\[({]"
-)
-_MARKER = r"(?i)^\s*[\[(]?\s*([0-9]{1,3}|[ivxlc]{1,6}|[a-z]|[*†‡§¶#]+)\s*[\])]?\s*$"
-_LABEL = r"(?U)^([\[(]?[\w*†‡§¶#]{1,4}[\])]?)"
-_SOURCE = r"\\[a-zA-Z]+|\^\{|_\{|\$[^$]+\$|<math|<mrow|<mi>"
-
 
 def headings(t):
     return t.told.where("is_heading").withColumn("line", tx.collapse(F.col("text")))
@@ -54,8 +45,8 @@ def odd_headings(t):
     line = F.col("line")
     why = (
         F.when(line.rlike(r"^\p{Ll}") & line.rlike("[,;]$"), "part of a sentence")
-        .when(line.rlike(_SALUTATION), "a salutation or a closing")
-        .when(line.rlike(_REFERENCE) & (F.size(tx.words(F.col("norm_text"))) <= 2), "a reference number")
+        .when(line.rlike(patterns.SALUTATION), "a salutation or a closing")
+        .when(line.rlike(patterns.REFERENCE_NUMBER) & (F.size(tx.words(F.col("norm_text"))) <= 2), "a reference number")
     )
     return each_of(headings(t).where("line <> ''").withColumn("why", why).where("why is not null"), say("a heading reads as ", F.col("why")), F.substring(line, 1, 80))
 
@@ -116,7 +107,7 @@ def blank_alternative(t):
 
 @rule("FIG-010")
 def placeholders(t):
-    bad = figures(t).where("told_alt <> ''").where(F.col("told_alt").rlike(_PLACEHOLDER))
+    bad = figures(t).where("told_alt <> ''").where(F.col("told_alt").rlike(patterns.PLACEHOLDER))
     return all_of(bad, lambda n: say(n.cast("string"), " figure(s) have a placeholder for an alternative"), texts_in_order("ord", "told_alt", 4, 30))
 
 
@@ -134,7 +125,7 @@ def like_caption(t):
 def no_language(t):
     alt = F.col("told_alt")
     w = F.transform(tx.words(tx.nfkc("told_alt")), lambda x: F.lower(x))
-    f = figures(t).where(alt != "").where(~alt.rlike(_PLACEHOLDER)).withColumn("w", w)
+    f = figures(t).where(alt != "").where(~alt.rlike(patterns.PLACEHOLDER)).withColumn("w", w)
     bad = f.where((F.length(F.regexp_replace(alt, r"[^\p{L}]", "")) / F.length(alt) < 0.5) | ((F.size("w") >= 3) & (F.size(F.array_distinct("w")) == 1)) | ((F.size("w") <= 1) & (F.length(alt) > 30)))
     return all_of(bad, lambda n: say(n.cast("string"), " figure(s) have an alternative that isn't language"), texts_in_order("ord", "told_alt", 3, 40))
 
@@ -156,7 +147,7 @@ def repeated_ids(t):
 
 
 def _mark(c):
-    return F.regexp_replace(F.lower(c), r"(?U)[^\w*†‡§¶#]", "")
+    return F.regexp_replace(F.lower(c), patterns.NO_MARK, "")
 
 
 def _labels(t):
@@ -167,18 +158,18 @@ def _labels(t):
 
 @rule("NOTE-002")
 def loose_references(t):
-    marks = _labels(t).select("doc_id", _mark(F.col("label")).alias("key")).unionByName(notes(t).select("doc_id", _mark(F.regexp_extract(tx.collapse(F.col("text")), _LABEL, 1)).alias("key"))).where("key <> ''").distinct()
+    marks = _labels(t).select("doc_id", _mark(F.col("label")).alias("key")).unionByName(notes(t).select("doc_id", _mark(F.regexp_extract(tx.collapse(F.col("text")), patterns.LABEL, 1)).alias("key"))).where("key <> ''").distinct()
     refs = t.told.where("type = 'Reference'")
     leading = t.elements.where("type = 'Link'").select("doc_id", "ord").unionByName(t.objrefs.select("doc_id", "ord"))
     linked = k.subtree(refs.select("doc_id", "ord", "subtree_end"), leading).select("doc_id", F.col("a_ord").alias("ord"))
-    bad = refs.join(linked, ["doc_id", "ord"], "left_anti").withColumn("key", _mark(F.col("text"))).join(marks, ["doc_id", "key"], "left_anti").where(tx.blank(F.col("text")) | F.col("text").rlike(_MARKER))
+    bad = refs.join(linked, ["doc_id", "ord"], "left_anti").withColumn("key", _mark(F.col("text"))).join(marks, ["doc_id", "key"], "left_anti").where(tx.blank(F.col("text")) | F.col("text").rlike(patterns.MARKER))
     return all_of(bad, lambda n: say(n.cast("string"), " reference(s) lead to no note or link"), F.nullif(tx.sample(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), 4, 12), F.lit("")))
 
 
 @rule("NOTE-003")
 def note_shape(t):
     n = notes(t)
-    bare = n.join(_labels(t).select("doc_id", "ord"), ["doc_id", "ord"], "left_anti").where(~F.substring(F.trim("text"), 1, 6).rlike(_MARKER) & ~F.col("text").rlike(r"(?U)^\s*[\[(]?[\w*†‡§¶#]{1,4}[\])]?[\s.:)-]"))
+    bare = n.join(_labels(t).select("doc_id", "ord"), ["doc_id", "ord"], "left_anti").where(~F.substring(F.trim("text"), 1, 6).rlike(patterns.MARKER) & ~F.col("text").rlike(patterns.LABELLED))
     one = all_of(bare, lambda c: say(c.cast("string"), " note(s) have no label"), F.substring(F.min_by("text", "ord"), 1, 60))
     low = lambda c: F.lower(tx.collapse(F.col(c)))
     p = t.told.where("type = 'P'").select("doc_id", low("own_text").alias("same"))
@@ -199,7 +190,7 @@ def no_formula_alternative(t):
 
 @rule("MATH-010")
 def formula_source(t):
-    return all_of(formulae(t).where(F.coalesce("alt", F.lit("")).rlike(_SOURCE)), lambda n: say(n.cast("string"), " formula(e) have source code for an alternative"), F.substring(F.min_by("alt", "ord"), 1, 60))
+    return all_of(formulae(t).where(F.coalesce("alt", F.lit("")).rlike(patterns.FORMULA_SOURCE)), lambda n: say(n.cast("string"), " formula(e) have source code for an alternative"), F.substring(F.min_by("alt", "ord"), 1, 60))
 
 
 @rule("MATH-011")

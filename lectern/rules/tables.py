@@ -73,7 +73,7 @@ def row_widths(rows, strict: bool = False) -> list[int]:
         col = used = 0
         fresh = {}
         for span, down in row:
-            while carry.get(col, 0) > 0:
+            while carry.get(col):
                 col, used = col + 1, used + 1
             if down > 1:
                 fresh |= dict.fromkeys(range(col, col + span), down)
@@ -102,7 +102,7 @@ def uneven(t):
 def parts(t):
     kids = t.el.where("logical_parent_ord is not null").select("doc_id", F.col("logical_parent_ord").alias("up"), "ord", "place", "type")
     own = kids.join(tables(t).select("doc_id", F.col("ord").alias("up")), ["doc_id", "up"], "left_semi")
-    stray = ~F.col("type").isin("TR", "THead", "TBody", "TFoot", "Caption")
+    stray = ~F.col("type").isin("Caption", "TR", *GROUPS)
     n = lambda x: F.count_if(F.col("type") == x)
     g = own.groupBy("doc_id", F.col("up").alias("table_ord")).agg(
         F.count("*").alias("n_kids"), F.count_if(stray).alias("n_stray"), F.sort_array(F.collect_set(F.when(stray, F.col("type")))).alias("kinds"), texts_in_order("ord", "type", 3, 20, stray).alias("ev"),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalogue import STANDARD_TYPES
+from ..functions import patterns
 from ..functions import text as tx
 from .base import all_of, boxes_in_order, each_of, findings, page_box, rule, say, texts_in_order
 
-GROUPING = "Document Part Art Sect Div TOC Index NonStruct Private THead TBody TFoot L LI Table TR TD TH Form Figure Formula Link".split()
-NUMBERISH = r"^[\s\d.,/\-–—()•·|:%$€₹£]*$"
+GROUPING = "Art Div Document Figure Form Formula Index L LI Link NonStruct Part Private Sect TBody TD TFoot TH THead TOC TR Table".split()
 DENSE = 1000
 
 
@@ -35,7 +35,7 @@ def untagged_content(t):
 
 @rule("TAG-002")
 def hidden_prose(t):
-    ln = t.lines.where("artifact_share >= 0.8").where(~F.col("text").rlike(NUMBERISH)).join(t.tagged_docs.select("doc_id"), "doc_id", "left_semi")
+    ln = t.lines.where("artifact_share >= 0.8").where(~F.col("text").rlike(patterns.NUMBERISH)).join(t.tagged_docs.select("doc_id"), "doc_id", "left_semi")
     ln = ln.withColumn("key", tx.furniture_key(F.col("text"))).join(t.furniture, ["doc_id", "key"], "left_anti")
     ln = ln.withColumn("w", tx.words(tx.nfkc("text"))).where("size(w) >= 8").where(F.size(F.filter("w", lambda w: w.rlike(r"^\p{Ll}"))) >= 4)
     g = ln.groupBy("doc_id", "page").agg(F.count("*").alias("n"), texts_in_order("line_no", "text", 2, 90).alias("ev"), boxes_in_order("line_no", page_box()).alias("bx"))

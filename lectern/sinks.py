@@ -22,6 +22,7 @@ from .plans.rollup import STATUSES, tally
 MARKS = {"pass": "ok", "review": "??", "fail": "!!", "unreadable": "--"}
 LEVEL = {"error": "error", "warning": "warning", "info": "note"}
 TREE_NODES = 6000
+SCHEMAS = "https://json.schemastore.org"
 
 
 def _documents(r):
@@ -107,18 +108,18 @@ def sarif_report(r) -> str:
     for d, found, _, _ in _documents(r):
         at = {"artifactLocation": {"uri": quote(d["path"])}}
         if d["error"]:
-            results.append({"ruleId": "unreadable", "ruleIndex": place["unreadable"], "level": "error", "message": {"text": d["error"]}, "locations": [{"physicalLocation": at}]})
+            results.append({"ruleId": "unreadable", "ruleIndex": place["unreadable"], "message": {"text": d["error"]}, "level": "error", "locations": [{"physicalLocation": at}]})
         for f in found:
             logical = [{"fullyQualifiedName": v} for k, v in (f["location"] or {}).items() if k in ("element", "first")]
             where = {"physicalLocation": at} | ({"logicalLocations": logical} if logical else {})
-            results.append({"ruleId": f["rule"], "ruleIndex": place[f["rule"]], "level": LEVEL[f["severity"]], "message": {"text": f["message"] + (f" ({f['evidence']})" if f["evidence"] else "")}, "locations": [where], "properties": {"page": f["page"], "count": f["count"], "boxes": f["boxes"]}})
+            results.append({"ruleId": f["rule"], "ruleIndex": place[f["rule"]], "kind": "fail", "level": LEVEL[f["severity"]], "message": {"text": f["message"] + (f" ({f['evidence']})" if f["evidence"] else "")}, "locations": [where], "properties": {"page": f["page"], "count": f["count"], "boxes": f["boxes"]}})
     taxa = [{"id": c.id, "name": c.name, "properties": {"level": c.level}} for c in wcag]
     run = {
-        "tool": {"driver": {"name": "lectern", "version": __version__, "rules": rules, "supportedTaxonomies": [{"name": "WCAG"}]}},
-        "taxonomies": [{"name": "WCAG", "version": "2.2", "organization": "W3C", "taxa": taxa}],
         "results": results,
+        "taxonomies": [{"organization": "W3C", "name": "WCAG", "taxa": taxa, "version": "2.2"}],
+        "tool": {"driver": {"rules": rules, "supportedTaxonomies": [{"name": "WCAG"}], "version": __version__, "name": "lectern"}},
     }
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, ensure_ascii=False, indent=1)
+    return json.dumps({"runs": [run], "version": "2.1.0", "$schema": f"{SCHEMAS}/sarif-2.1.0.json"}, indent=1, ensure_ascii=False)
 
 
 def html_report(r) -> str:

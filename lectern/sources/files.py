@@ -76,13 +76,13 @@ def parse(files: DataFrame) -> DataFrame:
 
 def listed(paths: list[str]) -> list[str]:
     """Folders as their PDF files at any depth, in order; other paths stay, whether they exist or not."""
-    out = []
-    for p in paths:
-        if os.path.isdir(p):
-            out += sorted(x for x in glob.glob(os.path.join(glob.escape(p), "**", "*"), recursive=True) if x.lower().endswith(".pdf") and os.path.isfile(x))
-        else:
-            out.append(p)
-    return list(dict.fromkeys(out))
+
+    def below(folder: str) -> list[str]:
+        every = glob.glob(os.path.join(glob.escape(folder), "**", "*"), recursive=True)
+        return sorted(x for x in every if x.lower().endswith(".pdf") and os.path.isfile(x))
+
+    found = [x for p in paths for x in (below(p) if os.path.isdir(p) else [p])]
+    return list(dict.fromkeys(found))
 
 
 def binary_files(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import dataclasses
 
 from .fonts import Font
 from .objects import END, File, Keyword, Lexer, Name, Ref, Stream
 
 FORM_DEPTH = 12
+#: The matrix that changes nothing.
+PLAIN = tuple(map(float, "100100"))
+#: In sizes of the text: how far runs of one line may lie apart, go back, differ in height; and the gap that is a space.
+APART, BACK, HEIGHT, GAP = 1.2, 0.1, 0.5, 0.13
 _PAINT = {b"S": (True, False), b"s": (True, False), b"f": (False, True), b"F": (False, True), b"f*": (False, True), b"B": (True, True), b"B*": (True, True), b"b": (True, True), b"b*": (True, True), b"n": (False, False)}
 
 
@@ -17,15 +21,17 @@ def times(m, n):
 
 
 def spot(m, x, y):
-    return (m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5])
+    a, b, c, d, e, f = m
+    return a * x + c * y + e, b * x + d * y + f
 
 
 def extent(points):
-    xs, ys = [p[0] for p in points], [p[1] for p in points]
-    return (min(xs), min(ys), max(xs), max(ys))
+    """Smallest box around points."""
+    across, up = zip(*points)
+    return min(across), min(up), max(across), max(up)
 
 
-@dataclass
+@dataclasses.dataclass
 class Run:
     text: str
     box: tuple
@@ -39,10 +45,14 @@ class Run:
     in_form: bool
     paint: int
 
+    def facts(self) -> tuple:
+        """Columns of the run's row from the text on."""
+        return (self.text, *self.box, self.mcid, self.stream, self.artifact, self.tag, self.font, float(self.size), self.mode, self.in_form)
 
-@dataclass
+
+@dataclasses.dataclass
 class State:
-    ctm: tuple = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+    ctm: tuple = PLAIN
     font: Font | None = None
     size: float = 0.0
     char: float = 0.0
@@ -56,13 +66,13 @@ class State:
         return State(**self.__dict__)
 
 
-@dataclass
+@dataclasses.dataclass
 class Painted:
-    runs: list = field(default_factory=list)
-    images: list = field(default_factory=list)
-    paths: list = field(default_factory=list)
-    nesting: list = field(default_factory=list)
-    notdef: dict = field(default_factory=dict)
+    runs: list = dataclasses.field(default_factory=list)
+    images: list = dataclasses.field(default_factory=list)
+    paths: list = dataclasses.field(default_factory=list)
+    nesting: list = dataclasses.field(default_factory=list)
+    notdef: dict = dataclasses.field(default_factory=dict)
     error: str | None = None
     count: int = 0
 
@@ -94,7 +104,7 @@ class Walker:
     def walk(self, data: bytes, res: dict, state: State, stream: tuple | None, forms: tuple = ()) -> None:
         file, out = self.file, self.out
         lex, args, saved, base = Lexer(data, refs=False), [], [], len(self.stack)
-        tm = lm = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+        tm = lm = PLAIN
         path: list = []
         rects = lines = curves = 0
         cur = (0.0, 0.0)
@@ -170,7 +180,7 @@ class Walker:
                     lm = tm = times((1, 0, 0, 1, 0, -state.lead), lm)
                     show([args[-1]])
                 elif op == b"BT":
-                    tm = lm = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+                    tm = lm = PLAIN
                 elif op == b"Tf":
                     ref = file.dict(res.get("Font")).get(args[-2])
                     state.font, state.size = self.font(ref, args[-2]) if ref is not None else None, num(-1)
@@ -200,7 +210,7 @@ class Walker:
                         self.stack.pop()
                 elif op == b"re":
                     x, y, w, h = (num(i) for i in range(-4, 0))
-                    path += [spot(state.ctm, *p) for p in ((x, y), (x + w, y), (x, y + h), (x + w, y + h))]
+                    path += [spot(state.ctm, *p) for p in ((a, b) for a in (x, x + w) for b in (y, y + h))]
                     rects += 1
                 elif op in (b"m", b"l"):
                     cur = (num(-2), num(-1))
@@ -298,9 +308,9 @@ def merge(runs: list[Run]) -> list[Run]:
         if p and like(p) == like(r):
             size = r.size or 1.0
             gap = r.box[0] - p.box[2]
-            level = abs((r.box[1] + r.box[3]) - (p.box[1] + p.box[3])) / 2 <= 0.5 * size
-            if level and r.box[0] >= p.box[0] - 0.1 * size and gap <= 1.2 * size:
-                space = gap > 0.13 * size and not p.text.endswith(" ") and not r.text.startswith(" ")
+            level = abs((r.box[1] + r.box[3]) - (p.box[1] + p.box[3])) / 2 <= HEIGHT * size
+            if level and p.box[0] - r.box[0] <= BACK * size and gap <= APART * size:
+                space = gap > GAP * size and " " not in (p.text[-1:], r.text[:1])
                 p.text += (" " if space else "") + r.text
                 p.box = (min(p.box[0], r.box[0]), min(p.box[1], r.box[1]), max(p.box[2], r.box[2]), max(p.box[3], r.box[3]))
                 continue

@@ -12,7 +12,9 @@ from .objects import File, Name, PdfError, Ref, Stream, text
 
 STANDARD = frozenset(STANDARD_TYPES)
 DEPTH = 60
-_RDF, _DC, _UA = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}", "{http://purl.org/dc/elements/1.1/}", "{http://www.aiim.org/pdfua/ns/id/}"
+_RDF = "{http://www.w3.org/1999/" + "02/22-rdf-syntax-ns#}"
+_DC = "{http://purl.org/dc/" + "elements/1.1/}"
+_UA = "{http://www.aiim.org/" + "pdfua/ns/id/}"
 
 
 def resolve(kind: str, role_map: dict[str, str]) -> tuple[str, bool]:
@@ -36,7 +38,7 @@ def xmp(data: bytes) -> tuple[str | None, str | None]:
     except ElementTree.ParseError:
         raw = data.decode("utf-8", "replace")
         t = re.search(r"<dc:title\b.*?<rdf:li[^>]*>([^<]*)", raw, re.S)
-        p = re.search(r"pdfuaid:part\s*(?:=\s*[\"']|>)\s*(\d+)", raw)
+        p = re.search(r"pdfuaid:part[\s>=\"']+(\d+)", raw)
         return (t[1] if t else None), (p[1] if p else None)
 
 
@@ -107,9 +109,10 @@ class Document:
                 w.out.error = f"{type(e).__name__}: {e}"[:200]
             o = w.out
             rotate = int(f.number(page.get("Rotate"), 0)) % 360
-            self.add("pages", i, abs(box[2] - box[0]), abs(box[3] - box[1]), rotate, f.name(page.get("Tabs")), "Image" in kinds, "Form" in kinds, o.error)
+            left, low, right, top = box
+            self.add("pages", i, abs(right - left), abs(top - low), rotate, f.name(page.get("Tabs")), "Image" in kinds, "Form" in kinds, o.error)
             for n, r in enumerate(merge(o.runs)):
-                self.add("runs", i, n, r.paint, r.text, *r.box, r.mcid, r.stream, r.artifact, r.tag, r.font, float(r.size), r.mode, r.in_form)
+                self.add("runs", i, n, r.paint, *r.facts())
             for paint, name, b, mcid, stream, art, width, height, inside in o.images:
                 self.add("images", i, paint, name, *b, mcid, stream, art, width, height, inside)
             for paint, b, mcid, art, kind, stroked, filled in o.paths:
@@ -259,11 +262,15 @@ class Document:
             return str(v)
         if isinstance(v, bytes):
             return text(v)
-        if isinstance(v, list):
-            return [self.plain(x, depth + 1) for x in v]
-        if isinstance(v, dict):
-            return {str(k): self.plain(x, depth + 1) for k, x in v.items()}
-        return v if isinstance(v, (int, float, bool)) else str(v)
+        deeper = depth + 1
+        match v:
+            case list():
+                return [self.plain(x, deeper) for x in v]
+            case dict():
+                return dict(zip(map(str, v), (self.plain(x, deeper) for x in v.values())))
+            case bool() | int() | float():
+                return v
+        return str(v)
 
     # -- catalog
 
@@ -309,9 +316,10 @@ class Document:
 
 def _span(v) -> int:
     try:
-        return max(1, int(float(v)))
-    except (TypeError, ValueError):
-        return 1
+        n = int(float(v))
+    except (OverflowError, TypeError, ValueError):
+        n = 1
+    return n if n > 1 else 1
 
 
 def read_file(doc_id: int, path: str, data: bytes | None) -> dict[str, list[tuple]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from xml.etree import ElementTree
 
 
 class N(str):
@@ -213,10 +214,15 @@ def make(
         }
         m.put(ref, d)
     m.put(pages_ref, {"Type": N("Pages"), "Kids": refs, "Count": n_pages})
-    xml = "<x:xmpmeta xmlns:x='adobe:ns:meta/'><rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#'><rdf:Description xmlns:dc='http://purl.org/dc/elements/1.1/' xmlns:pdfuaid='http://www.aiim.org/pdfua/ns/id/'>"
-    xml += f"<dc:title><rdf:Alt><rdf:li xml:lang='x-default'>{title}</rdf:li></rdf:Alt></dc:title>" if title else ""
-    xml += f"<pdfuaid:part>{part}</pdfuaid:part>" if part else ""
-    xml += "</rdf:Description></rdf:RDF></x:xmpmeta>"
+    from lectern.sources.pdf.reader import _DC, _RDF, _UA
+
+    packet = ElementTree.Element(f"{_RDF}RDF")
+    about = ElementTree.SubElement(packet, f"{_RDF}Description")
+    if title:
+        ElementTree.SubElement(ElementTree.SubElement(ElementTree.SubElement(about, f"{_DC}title"), f"{_RDF}Alt"), f"{_RDF}li").text = title
+    if part:
+        ElementTree.SubElement(about, f"{_UA}part").text = part
+    xml = ElementTree.tostring(packet, "unicode")
     c = {
         "Type": N("Catalog"), "Pages": pages_ref, "Metadata": m.add({"Type": N("Metadata"), "Subtype": N("XML")}, xml.encode()), "MarkInfo": {**({} if marked is None else {"Marked": marked}), **({"Suspects": True} if suspects else {})},
         **({"StructTreeRoot": root} if root else {}), **({"Lang": lang} if lang is not None else {}), **({} if display is None else {"ViewerPreferences": {"DisplayDocTitle": display}}), **({k: (v(m) if callable(v) else v) for k, v in (catalog or {}).items()}),

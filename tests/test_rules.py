@@ -59,7 +59,7 @@ CASES = {
     "TAG-002": make(clean(), loose=[T(LONG, artifact=True)]),
     "TAG-004": make(clean(), raw={0: b"/Artifact BMC /Span <</MCID 0>> BDC EMC EMC\n"}),
     "TAG-010": make([*clean(), E("Odd", [T("odd content")])]),
-    "TAG-011": make(clean(), role_map={"A": "B", "B": "A"}),
+    "TAG-011": make(clean(), role_map={"Up": "Down", "Down": "Up"}),
     "TAG-012": make(clean(), role_map={"P": "Span"}),
     "TAG-020": make([*clean(), E("P", [])]),
     "TAG-021": make([*clean(), E("P", [{"Type": N("MCR"), "MCID": 0}])]),
@@ -85,14 +85,14 @@ CASES = {
     "HDG-010": make([E("H1", [T("Dear reader")]), p()]),
     "HDG-011": make([E("H1", [T(SENT, size=3)]), p()]),
     "HDG-012": make(pages(5, lambda i: [T(LONG + " " + LONG + " " + LONG, page=i, size=3, y=400)]), n_pages=5),
-    "TBL-001": make([p(), table(["a", "b"], ["c", "d"])]),
+    "TBL-001": make([p(), table(["one", "two"], ["three", "four"])]),
     "TBL-002": make([p(), table([th("a"), th("b")], ["c", "d"])]),
     "TBL-003": make([p(), E("Table", [E("TD", [T("loose")])])]),
     "TBL-004": make([p(), table([th("a", Scope=N("Column")), "b", "c"], ["d", "e"])]),
     "TBL-005": make([p(), E("Table", [E("P", [T("stray")]), E("TR", [th("a", Scope=N("Column")), E("TD", [T("b")])])])]),
     "TBL-010": make([p(), table(*[[th("One"), th("Two")] for _ in range(4)], ["a", "b"])]),
     "TBL-011": make([p(), table([E("TH", [], {"ID": "h", **attrs("Table", Scope=N("Column"))})], [E("TD", [T("x")], attrs("Table", Headers=["h"]))])]),
-    "TBL-012": make([p(), table([th("a", Scope=N("Column")), "", ""], ["", "", "b"])]),
+    "TBL-012": make([p(), table([th("a", Scope=N("Column")), *[""] * 2], [*[""] * 2, "b"])]),
     "TBL-013": make([E("Sect", [E("Table", [E("TR", [th(n, Scope=N("Column")), E("TD", [T(n, x=x, y=600)])])], {"Pg": 0}) for n, x in (("left", 72), ("right", 110))])]),
     "TBL-014": make([E("P", [T(f"some words number {i} here", x=80 + 100 * (i % 2), y=510 + 20 * i, size=6)]) for i in range(5)], raw={0: grid_lines()}),
     "TBL-015": make([p(), table([th("a", Scope=N("Column")), "b", "c"], ["d", "e", "f"], ["four words in here"], ["again four words here"])]),
@@ -195,12 +195,13 @@ def test_unreadable(audit):
 def test_criteria(audit):
     for name, rows in audit["criteria"].items():
         assert len(rows) == len(CRITERIA), name
-    assert audit["criteria"]["FIG-001"]["wcag22", "1.1.1"]["status"] == "fail"
-    assert audit["criteria"]["FIG-001"]["pdfua1", "13"]["status"] == "fail"
+    def status(name, *key):
+        return audit["criteria"][name][key]["status"]
+
+    assert status("FIG-001", "wcag22", "1.1.1") == status("FIG-001", "pdfua1", "13") == "fail"
     # A blank alternative is a matter of meaning: the criterion fails, the checkpoint doesn't.
-    assert audit["criteria"]["FIG-002"]["wcag22", "1.1.1"]["status"] == "fail"
-    assert audit["criteria"]["FIG-002"]["pdfua1", "13"]["status"] == "pass"
-    assert audit["criteria"]["clean"]["wcag22", "1.2.4"]["status"] == "not-applicable"
+    assert (status("FIG-002", "wcag22", "1.1.1"), status("FIG-002", "pdfua1", "13")) == ("fail", "pass")
+    assert status("clean", "wcag22", "1.2.4") == "not-applicable"
 
 
 def test_reports(audit, spark, tmp_path):
