@@ -2,15 +2,18 @@
 
 A text is cut at places that are always borders between pre-tokens, so that the ids of the
 text are the ids of its parts one after another. Parts repeat; each distinct one is encoded
-once per worker. The caches hold at most ``CACHE`` entries and are then emptied.
+once per worker. A cache has two generations of at most ``CACHE`` entries: when the
+younger is full it becomes the older, whose entries move up as they are met again, so that frequent parts
+stay and others go.
 """
 
 from __future__ import annotations
 
 import re
-import struct
+import sys
+from array import array
 
-CACHE = 600_000
+CACHE = 400_000
 _ENCODERS: dict[tuple[str, str], "CachedEncoder"] = {}
 
 
@@ -26,6 +29,11 @@ _BYTES = {v: k for k, v in _LETTERS.items()}
 
 
 def _map(piece: str) -> str:
+    if piece.isascii():
+        if piece.isalpha():
+            return piece
+        if piece[0] == " " and piece[1:].isalpha():
+            return "\u0120" + piece[1:]
     return piece.encode("utf-8", "replace").decode("latin-1").translate(_LETTERS)
 
 
@@ -34,9 +42,14 @@ def _unmap(piece: str) -> str:
 
 
 def _pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
+#: Below this, characters are composed and lower-case alike in Python and in the library (tests hold them against each other).
+_LATIN_END = "\u0250"
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _BORDER = re.compile(r"(?= \S)")
 
@@ -65,67 +78,77 @@ class CachedEncoder:
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.kind = kind
-        self.parts: dict = {}
-        self.small: dict = {}
+        self.parts, self.parts_old, self.small, self.small_old = {}, {}, {}, {}
         tails = r"'s|'t|'re|'ve|'m|'ll|'d"
         byte = tails + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.find = regex.compile(byte if kind == "byte" else tails + r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
-    def split(self, text: str) -> list:
+    def split(self, text: str) -> tuple[list, bytes]:
+        """The parts, and the ids of what comes before them. Parts of kind ``byte`` are without the space they start with."""
         if self.kind == "word":
-            return text.encode("utf-8", "surrogatepass").split()
+            return text.encode("utf-8", "surrogatepass").split(), b""
         if _UNSAFE.search(text):
-            return [x for x in _BORDER.split(text) if x]
-        first, *rest = text.split(" ")
-        out = [" " + x for x in rest]
-        if first:
-            out.insert(0, first)
-        return out
+            first, *rest = _BORDER.split(text)
+            if first[:1] == " " and first[1:2].strip():
+                first, rest = "", [first, *rest]
+            rest = [x[1:] for x in rest]
+        else:
+            first, *rest = text.split(" ")
+        return rest, self._ids(self.find_in(first)) if first else b""
+
+    def find_in(self, text: str) -> list[str]:
+        """Pre-tokens of text of kind ``byte``. Beyond Latin letters the library cuts, whose Unicode tables count."""
+        if text.isascii() or max(text) < _LATIN_END:
+            return self.find(text)
+        return [_unmap(p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
     def _pieces(self, part) -> list[str]:
-        """A part's pre-tokens. Beyond Latin letters the library cuts, whose Unicode tables count."""
-        text = part if self.kind == "byte" else part.decode("utf-8", "replace")
-        if self.kind == "word":
-            text = text.lower() if text.isascii() else self.tok.normalizer.normalize_str(text)
-        if text.isascii() or max(text) < "\u0250":
-            return self.find(text)
+        if self.kind == "byte":
+            return [" " + part] if part.isascii() and part.isalpha() else self.find_in(" " + part)
+        if part.isalpha():  # ASCII letters alone
+            return [part.lower().decode()]
+        text = part.decode("utf-8", "replace")
+        if text.isascii() or max(text) < _LATIN_END:
+            return self.find(text.lower())
+        text = self.tok.normalizer.normalize_str(text)
         return [_unmap(p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _learn(self, missing) -> None:
-        if len(self.parts) + len(missing) > CACHE:
-            self.parts.clear()
-        if len(self.small) > CACHE:
-            self.small.clear()
-        small, tokenize = self.small, self.model.tokenize
-        for x in missing:
-            ids = []
-            for p in self._pieces(x):
-                got = small.get(p)
+    def _ids(self, pieces: list[str]) -> bytes:
+        out = []
+        for p in pieces:
+            got = self.small.get(p)
+            if got is None:
+                got = self.small_old.pop(p, None)
                 if got is None:
-                    got = small[p] = _pack([t.id for t in tokenize(_map(p))])
-                ids.append(got)
-            self.parts[x] = ids[0] if len(ids) == 1 else b"".join(ids)
+                    got = _pack([t.id for t in self.model.tokenize(_map(p))])
+                if len(self.small) >= CACHE // 2:
+                    self.small, self.small_old = {}, self.small
+                self.small[p] = got
+            out.append(got)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _learn(self, part) -> bytes:
+        got = self.parts_old.pop(part, None)
+        if got is None:
+            got = self._ids(self._pieces(part))
+        self.parts[part] = got
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Texts are taken in blocks, so that memory follows the block."""
-        out, block, held = [], [], 0
-        for t in texts:
-            block.append(t)
-            held += len(t)
-            if held > 1_000_000:
-                out += self._encode(block)
-                block, held = [], 0
-        return out + self._encode(block)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.split(t) for t in texts]
-        got = [list(map(self.parts.get, c)) for c in cut]
-        missing = {x for c, g in zip(cut, got) if None in g for x, y in zip(c, g) if y is None}
-        if missing:
-            self._learn(missing)
-            parts = self.parts
-            for c, g in zip(cut, got):
-                while None in g:
-                    at = g.index(None)
-                    g[at:] = [parts[x] if y is None else y for x, y in zip(c[at:], g[at:])]
-        return [b"".join(g) for g in got]
+        """Ids of each text."""
+        out = []
+        for text in texts:
+            if len(self.parts) >= CACHE:
+                self.parts, self.parts_old = {}, self.parts
+            known = self.parts.get
+            cut, before = self.split(text)
+            got = list(map(known, cut))
+            try:
+                at = got.index(None)
+                while True:
+                    ids = known(cut[at])
+                    got[at] = self._learn(cut[at]) if ids is None else ids
+                    at = got.index(None, at + 1)
+            except ValueError:  # none is missing any more
+                out.append(before + b"".join(got))
+        return out

@@ -291,6 +291,7 @@ def test_cached_encoder_is_exact(name, kind, monkeypatch):
     plain.encode_special_tokens = True
     texts = [t for t in ODD if t is not None] + [prose(50) for _ in range(40)] + ["  x", "x  ", "\n \n a", "a  b", " \n", "ΑΣ ß İ K Å", "it'S 'tis x'll", "12 3a4", "\u3000a \u3000 b", "e\u0301 \u0301x", "a \u00a0 b", "²½x", "l'été c'est d'où"]
     rng = random.Random(4)
+    texts += [f"a{chr(i)}b{chr(i)} {chr(i)}{chr(i)}A" for i in range(1, 0x250)]
     texts += ["".join(rng.choice("ab  \n\t'.É1\u00a0s") for _ in range(rng.randint(0, 30))) for _ in range(300)]
     for t, e in zip(texts, mine.encode(texts)):
         assert np.frombuffer(e, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
