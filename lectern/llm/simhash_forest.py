@@ -265,7 +265,10 @@ def verify(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes ``wanted`` (node, doc_id): the texts are read again and only those documents' sets kept."""
+    """(node, shingles) of the nodes ``wanted`` (node, doc_id): the texts are read again and only those documents' sets kept.
+
+    A node comes more than once only where texts of one doc_id differ and have the same set.
+    """
 
     def apply(batches):
         for batch in batches:
@@ -275,8 +278,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["node", "shingles"])
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    return rows.mapInArrow(apply, "node binary, shingles binary").dropDuplicates(["node"])
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
+    # Rows alike go once; they lie together already, by doc_id.
+    rows = rows.withColumn("alike", F.md5("text")).dropDuplicates(["doc_id", "node", "alike"]).select("node", "text")
+    return rows.mapInArrow(apply, "node binary, shingles binary")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
