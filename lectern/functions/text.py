@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = r"([\p{L}\p{Nl}\p{No}]{2,})"
-#: White space as Python's str.split() sees it.
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
+#: White space as Python's str.split() sees it, the plain space aside.
+_WHITE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " ")
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))
+    plain = F.translate(F.coalesce(c, F.lit("")), _WHITE, " " * len(_WHITE))
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def blank(c: Column) -> Column:

@@ -176,7 +176,9 @@ def duplicate_ids(spark, sf_dir):
   select item_id, sum(a.n)::bigint total, sum(greatest(a.n - coalesce(b.n, 0), 0))::bigint lost from a left join b using (item_id, w) group by 1""")
 def text_fidelity(spark, sf_dir):
     cut = lambda df, key: df.select(F.col(key).alias("item_id"), F.explode(tx.words(F.col("text"))).alias("w")).where(F.length("w") >= 3).withColumn("w", F.lower("w"))
-    return k.multiset_loss(cut(_table(spark, sf_dir, "benchmark"), "item_id"), cut(_table(spark, sf_dir, "documents"), "doc_id"), ["item_id"], "w")
+    items = _table(spark, sf_dir, "benchmark")
+    partners = _table(spark, sf_dir, "documents").join(items.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
+    return k.multiset_loss(cut(items, "item_id"), cut(partners, "doc_id"), ["item_id"], "w")
 
 
 @query("""with l as (select user_id, ts, event_id, floor(value / 50)::int lv from events), p as (select *, lag(lv) over (partition by user_id order by ts, event_id) pv from l)
