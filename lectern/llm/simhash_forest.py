@@ -30,7 +30,7 @@ from .graph import components
 from .words import shingle_sets, slices
 
 BITS = 256
-WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.97
+WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99
 HOT = 4096
 LAST_DEPTH = 24
 STAR = 2000
