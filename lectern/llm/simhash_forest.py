@@ -7,7 +7,11 @@ density: starting where a prefix is expected to hold one node, the forest climbs
 long as the tries needed for the target recall (at the similarity threshold) make that cheaper. Prefixes that
 still hold more than ``HOT`` nodes aren't compared there; their nodes form a denser forest of their own
 with deeper prefixes and as many tries as the recall needs, until none is left (at the last depth
-all are compared, whatever their number).
+all are compared, whatever their number). The recall is the joint one of all tries, which read the same
+signature: a sum over the Hamming distances of a pair, within the radius; the forests share what may be missed.
+
+The signature bits of very small sets differ more than their similarity says. Sets of up to ``SMALL`` windows aren't in the
+forest: they and the sets they can be similar to are joined exactly, on the rarest windows of each.
 
 Within a prefix, pairs within a Hamming radius are candidates; of pairs that are both very close to
 a third node only those with that node are sent on. Candidates are verified on their whole sets; where a
@@ -19,10 +23,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, ready, saved
@@ -33,6 +38,7 @@ BITS = 256
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99
 HOT = 4096
 LAST_DEPTH = 24
+SMALL = 40
 STAR = 2000
 _BLOCK = 2_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -49,8 +55,53 @@ def radius(similarity: float, deviations: float) -> int:
     return int(BITS * p + deviations * math.sqrt(BITS * p * (1 - p)))
 
 
+@lru_cache
+def bit_gap(similarity: float) -> float:
+    """Largest chance that a signature bit differs for two sets of at least this similarity in the forest, exact in the sets' sizes."""
+
+    def tosses(n):
+        return np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n, 2 * np.arange(n + 1) - n
+
+    def gap(shared, a, b):
+        weights, values = tosses(shared)
+        one, two = ((values[:, None] + v > 0) @ w for w, v in (tosses(a), tosses(b)))
+        return float(weights @ (one * (1 - two) + two * (1 - one)))
+
+    most = 1 - bit_agreement(similarity)
+    for union in range(SMALL + 1, 2 * SMALL + 1):
+        shared = math.ceil(similarity * union - 1e-9)
+        most = max([most, *(gap(shared, a, union - shared - a) for a in range((union - shared) // 2 + 1))])
+    return most
+
+
+def _distances(similarity: float) -> np.ndarray:
+    """Chance of each Hamming distance of a pair at the similarity."""
+    p = bit_gap(similarity)
+    return np.array([math.comb(BITS, h) * p**h * (1 - p) ** (BITS - h) for h in range(BITS + 1)])
+
+
+def reach(similarity: float, recall: float) -> int:
+    """The radius beyond which lies a twentieth of what may be missed."""
+    return int(np.searchsorted(np.cumsum(_distances(similarity)), 1 - (1 - recall) / 20))
+
+
+def joint_recall(depth: int, tries: int, similarity: float, near: int) -> float:
+    """Chance that a pair at the similarity is within the radius and shares the prefix in some trie; all tries read the same signature."""
+    h = np.arange(near + 1)[:, None]
+    share = np.prod(np.maximum(BITS - h - np.arange(depth), 0) / (BITS - np.arange(depth)), axis=1)
+    return float(_distances(similarity)[: near + 1] @ (1 - (1 - share) ** tries))
+
+
+@lru_cache
 def tries_for(depth: int, similarity: float, recall: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - bit_agreement(similarity) ** depth)))
+    near, high = reach(similarity, recall), 1
+    while joint_recall(depth, high, similarity, near) < recall:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if joint_recall(depth, mid, similarity, near) >= recall else (mid, high)
+    return high
 
 
 def plan(nodes: int, similarity: float = SIMILARITY, recall: float = RECALL, least: int = 4) -> tuple[int, int]:
@@ -86,8 +137,8 @@ def node_of(found: np.ndarray) -> bytes | None:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else b""
 
 
-def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, node, sig, size of each row; a null text has no node."""
+def fingerprint(docs: DataFrame, few: int) -> DataFrame:
+    """doc_id, node, sig, size of each row, and the set itself where it has ``few`` windows at most; a null text has no node."""
 
     def apply(batches):
         for batch in batches:
@@ -98,11 +149,11 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                 sigs = signatures(sets)
                 nodes = [None if t is None else node_of(s) for t, s in zip(some, sets)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids[low:high], pa.array(nodes, pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([len(s) for s in sets], pa.int32())],
-                    names=["doc_id", "node", "sig", "size"],
+                    [ids[low:high], pa.array(nodes, pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() if 0 < len(s) <= few else None for s in sets], pa.binary())],
+                    names=["doc_id", "node", "sig", "size", "few"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id bigint, node binary, sig binary, size int")
+    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id bigint, node binary, sig binary, size int, few binary")
 
 
 def compare(sig: np.ndarray, size: np.ndarray, near: int, tight: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,12 +265,14 @@ def _search(entries: DataFrame, near: int, tight: int, similarity: float, hot: i
 
 def candidates(spark: SparkSession, nodes: DataFrame, similarity: float, recall: float, hot: int = HOT) -> DataFrame:
     """Pairs (a, b, tight) of the forest, each once."""
-    near, tight, found, least, level = radius(similarity, 3.0), radius(0.93, 0.0), None, 4, 0
+    tight, found, least, level = radius(0.93, 0.0), None, 4, 0
     while True:
         n = nodes.count()
         if n < 2:
             break
-        depth, tries = plan(n, similarity, recall, least)
+        own = 1 - (1 - recall) * 2 / 3 ** (level + 1)  # all levels together miss no more than 1 - recall
+        near = reach(similarity, own)
+        depth, tries = plan(n, similarity, own, least)
         last = depth >= LAST_DEPTH
         got = saved(_search(_enter(nodes, depth, tries, level), near, tight, similarity, 0 if last else hot, partitions(spark)))
         pairs = got.where("b is not null").select("a", "b", "tight")
@@ -233,6 +286,65 @@ def candidates(spark: SparkSession, nodes: DataFrame, similarity: float, recall:
     return saved(found.groupBy("a", "b").agg(F.max("tight").alias("tight")))
 
 
+def linked_exactly(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets that are similar enough, as many as connect all that such pairs connect."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    left, flat, out, queue = np.arange(len(sets)), ids, [], []
+    while len(left):
+        if not queue:
+            queue.append(int(left[0]))
+            left, flat = left[1:], flat[sizes[left[0]] :]
+            continue
+        me = queue.pop()
+        mine = np.zeros(len(values), bool)
+        mine[ids[starts[me] : starts[me] + sizes[me]]] = True
+        size = sizes[left]
+        both = np.add.reduceat(mine[flat], np.cumsum(size) - size, dtype=np.int64)
+        near = both / (size + sizes[me] - both) >= similarity
+        if near.any():
+            met = left[near].tolist()
+            out += [(me, x) for x in met]
+            queue += met
+            left, flat = left[~near], flat[np.repeat(~near, size)]
+    return out
+
+
+def small_links(few: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """Linked pairs (a, b) of the small sets ``few`` (node, size, few), exact: similar sets share one of the rarest windows of each."""
+    each = few.withColumn("hex", F.hex("few")).select("node", "size", F.explode(F.expr("transform(sequence(0, size - 1), k -> substr(hex, 16 * k + 1, 16))")).alias("window"))
+    often = each.groupBy("window").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("node").orderBy("n", "window")
+    rarest = each.join(often, "window").withColumn("at", F.row_number().over(order)).where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1) & (F.col("n") > 1))
+    entries = rarest.select("window", "node").join(few.select("node", "few"), "node").select("window", "node", "few")
+
+    def apply(batches):
+        key, nodes, sets = None, [], []
+
+        def pairs():
+            found = linked_exactly(sets, similarity) if len(sets) > 1 else []
+            return [(nodes[i], nodes[j]) for i, j in found]
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["a", "b"])
+
+        for batch in batches:
+            out = []
+            for k, node, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    out += pairs()
+                    key, nodes, sets = k, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(data, np.uint64))
+            if out:
+                yield batch_of(out)
+        if out := pairs():
+            yield batch_of(out)
+
+    return entries.repartition(parts, "window").sortWithinPartitions("window", "node").mapInArrow(apply, "a binary, b binary")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Pairs (a, b) with their exact Jaccard similarity.
 
@@ -292,9 +404,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     row without a doc_id (its class_id is null). Rows of one doc_id and text count as copies. Other columns are ignored.
     """
     ready(spark)
-    marks = saved(fingerprint(docs))
-    nodes = saved(marks.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("sig").alias("sig"), F.first("size").alias("size")))
-    pairs = candidates(spark, nodes.where("size > 0").select("node", "sig", "size"), similarity, recall)
+    few = int(SMALL / similarity)
+    marks = saved(fingerprint(docs, few))
+    nodes = saved(marks.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.first("few").alias("few")))
+    pairs = candidates(spark, nodes.where(F.col("size") > SMALL).select("node", "sig", "size"), similarity, recall)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = saved(sets_of(docs, nodes.join(ends, "node", "left_semi").select("node", "doc_id")))
     judged = saved(verify(pairs.select("a", "b"), sets, partitions(spark)))
@@ -304,6 +417,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     failed = close.join(judged.where(F.col("jaccard") < similarity), ["a", "b"], "left_semi").select("a", F.col("b").alias("x"))
     again = failed.join(close, "a").where("x <> b").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     linked = linked.unionByName(verify(again, sets, partitions(spark)).where(F.col("jaccard") >= similarity).select("a", "b"))
+    linked = linked.unionByName(small_links(nodes.where("few is not null").select("node", "size", "few"), similarity, partitions(spark)))
     roots = components(linked)
     classed = nodes.select("node", "doc_id", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
@@ -315,8 +429,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
 
 def keep_one(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, of the first document of each class (one row of equal doc_id); rows without a doc_id stay."""
-    from pyspark.sql import Window
-
     first = near_duplicates(spark, docs, similarity).where("doc_id = class_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi")
     kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")

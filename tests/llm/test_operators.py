@@ -227,6 +227,48 @@ def test_forest_plan_meets_recall():
     assert simhash_forest.plan(10**9)[0] > simhash_forest.plan(10**5)[0]
 
 
+def test_forest_plan_meets_joint_recall():
+    from math import comb
+
+    p = 1 - simhash_forest.bit_agreement(0.8)
+    near = simhash_forest.reach(0.8, simhash_forest.RECALL)
+    for n in (1000, 250_000, 15_000_000, 10**10):
+        depth, tries = simhash_forest.plan(n)
+        found = sum(comb(256, h) * p**h * (1 - p) ** (256 - h) * (1 - (1 - comb(256 - h, depth) / comb(256, depth)) ** tries) for h in range(near + 1))
+        assert found >= simhash_forest.RECALL
+
+
+def test_near_duplicates_of_few_words(spark):
+    rng = random.Random(4)
+    rows = []
+    for n in [8] * 150 + [12, 20, 30, 44] * 10:
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w, "more"]))]
+    rows += [(len(rows) + i, f"the page that you look for is not on this server any more {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(simhash_forest.near_duplicates(spark, df)) == jaccard_classes(rows)
+
+
+def test_linked_exactly():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        base = [rng.integers(0, 2**63, 10, np.uint64) for _ in range(4)]
+        sets = []
+        for _ in range(30):
+            s = base[rng.integers(4)].copy()
+            k = rng.integers(0, 3)
+            s[rng.choice(10, k, False)] = rng.integers(0, 40, k)
+            sets.append(np.unique(s))
+        own = [set(s.tolist()) for s in sets]
+        alike = lambda i, j: len(own[i] & own[j]) / len(own[i] | own[j]) >= 0.8  # noqa: B023, E731
+        links = simhash_forest.linked_exactly(sets, 0.8)
+        assert all(alike(i, j) for i, j in links)
+        root = list(range(30))
+        for i, j in links:
+            root = [root[i] if r == root[j] else r for r in root]
+        assert all(root[i] == root[j] for i in range(30) for j in range(i) if alike(i, j))
+
+
 def test_simhash_bits():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 2**63, n, np.uint64)) for n in (1, 9, 300)]
