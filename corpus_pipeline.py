@@ -39,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their sequence and offset (operator 8)."""
-    return packing.pack_documents(spark, docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packing.pack_documents(spark, docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, added=True)
 
 
 STAGES = [

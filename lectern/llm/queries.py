@@ -39,7 +39,7 @@ def op3_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import round_trip
 
-    return round_trip(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), kind="word", end_id=1)
+    return round_trip(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), kind="word", end_id=1, added=True)
 
 
 def op5_blockmax_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op7_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return pack_documents(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, added=True)
 
 
 def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,18 +152,18 @@ class Reader:
         return data[begin * 4 : (begin + high - low) * 4]
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str, kind: str = "word", end_id: int = 1, bits: bool = False, level: int = 1) -> list[tuple]:
+def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str, kind: str = "word", end_id: int = 1, bits: bool = False, level: int = 1, added: bool = False) -> list[tuple]:
     """Write all documents' ids below ``folder``; gives the manifest (part, file, documents, ids), one row a file.
 
     A null text is empty: it has the end id alone. Documents of one ``doc_id`` are ordered by text; a null
-    ``doc_id`` comes first. A retried task writes its file again, whole.
+    ``doc_id`` comes first. A retried task writes its file again, whole. ``added``: see CachedEncoder.
     """
     end = struct.pack("<I", end_id)
 
     def write(batches):
         from lectern.llm.tokenization import encoder
 
-        enc, out = encoder(vocabulary, kind), Writer(bits, level)
+        enc, out = encoder(vocabulary, kind, added), Writer(bits, level)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 256):

@@ -14,7 +14,7 @@ import sys
 from array import array
 
 CACHE = 400_000
-_ENCODERS: dict[tuple[str, str], "CachedEncoder"] = {}
+_ENCODERS: dict[tuple[str, str, bool], "CachedEncoder"] = {}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -54,11 +54,11 @@ _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _BORDER = re.compile(r"(?= \S)")
 
 
-def encoder(path: str, kind: str) -> "CachedEncoder":
+def encoder(path: str, kind: str, added: bool = False) -> "CachedEncoder":
     """The worker's encoder for a vocabulary file; ``kind`` is ``byte`` or ``word``."""
-    key = (path, kind)
+    key = (path, kind, added)
     if key not in _ENCODERS:
-        _ENCODERS[key] = CachedEncoder(path, kind)
+        _ENCODERS[key] = CachedEncoder(path, kind, added)
     return _ENCODERS[key]
 
 
@@ -68,14 +68,22 @@ class CachedEncoder:
     ``word``: white space is no token, and no pre-token crosses it, so ASCII white space is a border.
     ``byte``: a space that starts a pre-token (one before a non-space character, or one after a
     non-space character) is a border; where it isn't sure, only the first kind is used.
+
+    ``added``: the vocabulary's added tokens are found in texts, as the library does by default; without it
+    they are text like any other (the library's ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, added: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        tokens = self.tok.get_added_tokens_decoder() if added else {}
+        #: Tokens that take white space, stand alone or are met in normalised text are left to the library.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens.values())
+        self.added = {t.content: _pack([k]) for k, t in tokens.items()}
+        self.cut_added = re.compile("(%s)" % "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if tokens else None
         self.model = self.tok.model
         self.kind = kind
         self.parts, self.parts_old, self.small, self.small_old = {}, {}, {}, {}
@@ -136,6 +144,15 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
+        if not self.cut_added:
+            return self._encode(texts)
+        if not self.plain:
+            return [_pack(self.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+        cut = [self.cut_added.split(t) for t in texts]  # what lies between added tokens, and at odd places these
+        between = iter(self._encode([x for c in cut for x in c[::2]]))
+        return [b"".join(self.added[x] if k % 2 else next(between) for k, x in enumerate(c)) for c in cut]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             if len(self.parts) >= CACHE:

@@ -339,6 +339,19 @@ def test_cached_encoder_is_exact(name, kind, monkeypatch):
         assert np.frombuffer(e, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_encoder_finds_added_tokens(name, kind):
+    mine = CachedEncoder(vocab.path(name), kind, added=True)
+    plain = tokenizers.Tokenizer.from_file(vocab.path(name))  # left at its defaults
+    assert len(plain.encode("end of it <|endoftext|> next", add_special_tokens=False).ids) == {"word": 5, "byte": 6}[kind]
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [t for t in ODD if t is not None] + [f"end of it {end} next", end, end * 3, f" {end} ", f"a{end}b", f"a  {end}  b", f"{start}x {end}\n\n y", end.upper(), end[:-1], f"<|{end}|>", f"it{end}'s", f"e{end}\u0301"]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice([end, start, "a", " ", "\n", "'s", "É", "漢", "<|"]) for _ in range(rng.randint(0, 20))) for _ in range(300)]
+    for t, e in zip(texts, mine.encode(texts)):
+        assert np.frombuffer(e, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes(bits, tmp_path):
     rng = np.random.default_rng(3)
