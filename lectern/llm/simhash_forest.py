@@ -137,23 +137,24 @@ def node_of(found: np.ndarray) -> bytes | None:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else b""
 
 
-def fingerprint(docs: DataFrame, few: int) -> DataFrame:
-    """doc_id, node, sig, size of each row, and the set itself where it has ``few`` windows at most; a null text has no node."""
+def fingerprint(docs: DataFrame, few: int, alike: bool = False) -> DataFrame:
+    """doc_id, node, sig, size of each row, the set itself where it has ``few`` windows at most, and with ``alike`` the text's MD5; a null text has no node."""
 
     def apply(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, sums = batch.columns
             for low, high in slices(texts, _BLOCK):
                 some = texts[low:high].to_pylist()
                 sets = shingle_sets([x or "" for x in some], WIDTH)
                 sigs = signatures(sets)
                 nodes = [None if t is None else node_of(s) for t, s in zip(some, sets)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids[low:high], pa.array(nodes, pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() if 0 < len(s) <= few else None for s in sets], pa.binary())],
-                    names=["doc_id", "node", "sig", "size", "few"],
+                    [ids[low:high], pa.array(nodes, pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() if 0 < len(s) <= few else None for s in sets], pa.binary()), sums[low:high]],
+                    names=["doc_id", "node", "sig", "size", "few", "alike"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id bigint, node binary, sig binary, size int, few binary")
+    md5 = F.unhex(F.md5("text")) if alike else F.lit(None).cast("binary")
+    return docs.select("doc_id", "text", md5.alias("alike")).mapInArrow(apply, "doc_id bigint, node binary, sig binary, size int, few binary, alike binary")
 
 
 def compare(sig: np.ndarray, size: np.ndarray, near: int, tight: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -396,16 +397,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(apply, "node binary, shingles binary")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) and class_size (rows) for every row of ``docs``.
-
-    Texts are compared as lower-cased words without ASCII punctuation; texts with fewer than five words have
-    one window of all. Texts without a word are copies of each other; a null text is a class of its own, as is a
-    row without a doc_id (its class_id is null). Rows of one doc_id and text count as copies. Other columns are ignored.
-    """
+def _classified(spark: SparkSession, docs: DataFrame, similarity: float, recall: float, alike: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The marks of all rows, and node, doc_id (the least of the node), class_id, class_size and root (the class) of every node."""
     ready(spark)
     few = int(SMALL / similarity)
-    marks = saved(fingerprint(docs, few))
+    marks = saved(fingerprint(docs, few, alike))
     nodes = saved(marks.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.first("few").alias("few")))
     pairs = candidates(spark, nodes.where(F.col("size") > SMALL).select("node", "sig", "size"), similarity, recall)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -421,15 +417,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     roots = components(linked)
     classed = nodes.select("node", "doc_id", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
-    named = classed.join(classes, "root").select("node", "class_id", "class_size")
+    return marks, classed.join(classes, "root").select("node", "doc_id", "root", "class_id", "class_size")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class) and class_size (rows) for every row of ``docs``.
+
+    Texts are compared as lower-cased words without ASCII punctuation; texts with fewer than five words have
+    one window of all. Texts without a word are copies of each other; a null text is a class of its own, as is a
+    row without a doc_id (its class_id is null). Rows of one doc_id and text count as copies. Other columns are ignored.
+    """
+    marks, named = _classified(spark, docs, similarity, recall)
+    named = named.select("node", "class_id", "class_size")
     known = marks.where("node is not null and doc_id is not null").select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
     alone = marks.where("node is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return known.unionByName(alone)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, of the first document of each class (one row of equal doc_id); rows without a doc_id stay."""
-    first = near_duplicates(spark, docs, similarity).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs``, all columns, of the first document of each class: one row a class, of the least doc_id and node.
+
+    Rows of one doc_id whose texts are classes of their own each stay, as do rows without a doc_id and rows with a null text.
+    """
+    marks, named = _classified(spark, docs, similarity, RECALL, alike=True)
+    least = named.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
+    first = marks.join(least, ["doc_id", "node"]).groupBy("doc_id", "node").agg(F.min("alike").alias("__alike")).select("doc_id", "__alike")
+    kept = docs.where("text is not null").withColumn("__alike", F.unhex(F.md5("text"))).join(first, ["doc_id", "__alike"], "left_semi")
+    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__alike").orderBy("text"))).where("__n = 1").select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null or text is null"))

@@ -220,6 +220,16 @@ def test_near_duplicates(spark, monkeypatch, hot):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({x[1] for x in mine if x[1] is not None})
 
 
+def test_keep_one_of_repeated_ids(spark):
+    one, two, three = prose(80), prose(80), prose(80)
+    # 5 has a text of its own, a copy of 1 and a text that 7 copies.
+    rows = [(1, one), (5, one), (5, two), (5, two), (5, three), (7, three), (9, None)]
+    df = spark.createDataFrame([(d, "x", t) for d, t in rows], "doc_id bigint, lang string, text string").repartition(3)
+    kept = simhash_forest.keep_one(spark, df)
+    assert kept.columns == df.columns
+    assert got(kept) == sorted([(1, "x", one), (5, "x", two), (5, "x", three), (9, "x", None)], key=repr)
+
+
 def test_forest_plan_meets_recall():
     for n in (2, 1000, 10**6, 10**10):
         depth, tries = simhash_forest.plan(n)
