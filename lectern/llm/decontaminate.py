@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, saved
 from .words import slices, words
 
 K1, B = 1.2, 0.75
@@ -45,22 +45,34 @@ class Item:
     weights: dict  # word id -> share
 
 
+@dataclass
+class Counts:
+    """Of the whole benchmark; ``df`` may leave out words that an index doesn't have."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict  # word -> items
+
+
 class Index:
-    def __init__(self, rows: list[tuple[int, str]], threshold: float = THRESHOLD, overlap: float = 0.5):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float = THRESHOLD, overlap: float = 0.5, whole: Counts | None = None):
         rows = sorted((i, t) for i, t in rows)
         cut = [(i, words(t), t) for i, t in rows]
         cut = [(i, w, t) for i, w, t in cut if w]
         self.threshold, self.overlap = threshold, overlap
-        self.longest = max((len(w) for _, w, _ in cut), default=1)
-        n, mean = len(cut), sum(len(w) for _, w, _ in cut) / max(len(cut), 1)
-        df = Counter(x for _, w, _ in cut for x in set(w))
-        self.terms = {x: k for k, x in enumerate(sorted(df))}
+        n = len(cut)
+        found = Counter(x for _, w, _ in cut for x in set(w))
+        if whole is None:
+            whole = Counts(n, sum(len(w) for _, w, _ in cut) / max(n, 1), max((len(w) for _, w, _ in cut), default=1), found)
+        self.longest, mean, df = whole.longest, whole.mean, whole.df
+        self.terms = {x: k for k, x in enumerate(sorted(found))}
         self.items: list[Item] = []
         self.pivot = np.zeros(n)  # what the words before an item's pivot can add at most
         essential: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for at, (item_id, w, text) in enumerate(cut):
             tf = Counter(w)
-            gain = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for x, f in tf.items()}
+            gain = {x: math.log(1 + (whole.n - df[x] + 0.5) / (df[x] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for x, f in tf.items()}
             own = sum(gain.values())
             common = 0.0
             passed = False
@@ -154,14 +166,34 @@ class Index:
         return [(t, self.items[k], *v) for (t, k), v in sorted(best.items())]
 
 
+def _words_of(batches):
+    """Part, number of words and distinct words of each item that has words."""
+    for batch in batches:
+        rows = [(k, len(w), sorted(set(w))) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (w := words(t))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.int32(), pa.list_(pa.binary())])], names=["part", "length", "words"])
+
+
 def indexes(benchmark: DataFrame, threshold: float, overlap: float):
-    """One index for each INDEX_BYTES of items, in order of id; the items of one at a time are on the driver."""
+    """One index for each INDEX_BYTES of items, in order of id; the items of one at a time are on the driver.
+
+    Counts are those of the whole benchmark, so that shares and passages don't depend on how it is split.
+    """
     sized = benchmark.where("item_id is not null and text is not null").select("item_id", "text", F.octet_length("text").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     parts = -(-total // INDEX_BYTES)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(parts, 1)))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(parts, 1))).cast("int")
+    if parts > 1:
+        items = saved(sized.select("item_id", "text").distinct().withColumn("part", part).select("part", "text").mapInArrow(_words_of, "part int, length int, words array<binary>"))
+        n, length, longest = items.agg(F.count("*"), F.sum("length"), F.max("length")).first()
+        each = items.select("part", F.explode("words").alias("word"))
+        often = saved(each.groupBy("word").agg(F.count("*").alias("df")))
     for k in range(parts):
-        yield Index([(r["item_id"], r["text"]) for r in sized.where(part == k).distinct().collect()], threshold, overlap)
+        whole = None
+        if parts > 1 and n:
+            own = often.join(each.where(F.col("part") == k).select("word").distinct(), "word")
+            whole = Counts(n, length / n, longest, {bytes(r["word"]): r["df"] for r in own.collect()})
+        yield Index([(r["item_id"], r["text"]) for r in sized.where(part == k).distinct().collect()], threshold, overlap, whole)
 
 
 MATCHED = "doc_id bigint, item_id bigint, score_share double, question_overlap double, answer_overlap double"

@@ -477,6 +477,23 @@ def test_wand_loses_nothing():
     assert mine == want and want
 
 
+def test_split_benchmark_scores_as_one(spark, monkeypatch):
+    rng = random.Random(9)
+    usual = [prose(1) for _ in range(40)]
+    items = [(k, " ".join(rng.choice(usual) if rng.random() < 0.6 else f"q{k}x{i}" for i in range(rng.randint(8, 40))) + ". yes") for k in range(60)]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        docs.append((k, prose(20) + " " + " ".join(w[: int(len(w) * rng.uniform(0.4, 1))]) + " yes " + prose(20)))
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    one = got(decontaminate.find_contaminated(spark, df, bench))
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1500)
+    assert len(list(decontaminate.indexes(bench, 0.6, 0.5))) > 3
+    many = got(decontaminate.find_contaminated(spark, df, bench))
+    assert 0 < len(one) and [x[:2] for x in one] == [x[:2] for x in many]
+    assert np.allclose([x[2:] for x in one], [x[2:] for x in many])
+
+
 def test_several_indexes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 500)
     items = [(i, prose(30)) for i in range(12)]
