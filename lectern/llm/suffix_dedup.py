@@ -19,6 +19,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +207,11 @@ def _marks(place: np.ndarray) -> bytes:
     return np.stack([first, count], 1).astype("<i8").tobytes()
 
 
+def _spread(chunk: str) -> int:
+    """Salt of a chunk's marks, which go from level to level in a group of their own (bucket -1)."""
+    return zlib.crc32(chunk.encode()) >> 1
+
+
 def _send_windows(shared: DataFrame, chunks: DataFrame, folder: str, buckets: int, salts: int, parts: int, size: int) -> DataFrame:
     """Local marks, and the windows of shared anchors that are the first in their piece."""
 
@@ -241,7 +247,7 @@ def _send_windows(shared: DataFrame, chunks: DataFrame, folder: str, buckets: in
         later = later_members(*equal_classes(piece.chars, pos, window[pos]), rank)
         out = []
         if len(later):
-            out.append((-1, 0, 1, name, _marks(pos[later] + low), None))
+            out.append((-1, _spread(name), 1, name, _marks(pos[later] + low), None))
         hot[pos[later]] = False
         pos = np.flatnonzero(hot)
         if len(pos):
@@ -273,7 +279,7 @@ def _meet(sent: DataFrame, salts: int, next_salts: int, parts: int) -> DataFrame
 
     def apply(batches):
         for (bucket, _), rows in _grouped(batches, ["bucket", "salt"]):
-            out = [(r["bucket"], 0, 1, r["chunk"], r["data"], None) for r in rows if r["kind"] == 1]
+            out = [(r["bucket"], r["salt"], 1, r["chunk"], r["data"], None) for r in rows if r["kind"] == 1]
             rows = [r for r in rows if r["kind"] == 0]
             if rows:
                 heads = [np.frombuffer(r["data"], _HEAD) for r in rows]
@@ -297,7 +303,7 @@ def _meet(sent: DataFrame, salts: int, next_salts: int, parts: int) -> DataFrame
                 where = head["place"][of] + step
                 for k in np.unique(owner[of[later]]).tolist():
                     mine = later[owner[of[later]] == k] if len(rows) > 1 else later
-                    out.append((-1, 0, 1, rows[k]["chunk"], _marks(where[mine]), None))
+                    out.append((-1, _spread(rows[k]["chunk"]), 1, rows[k]["chunk"], _marks(where[mine]), None))
                 if next_salts:
                     out += _pass_on(rows, head, owner, data, begin, of, step, gone, bucket, salts, next_salts)
             if out:

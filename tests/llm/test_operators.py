@@ -544,6 +544,22 @@ def repeats():
     return out + [(70, out[3][1]), (71, None), (72, ""), (5, out[6][1]), (5, out[5][1]), (80, base[0] * 3), (None, base[1] + base[2]), (None, base[1])]
 
 
+def test_marks_are_spread_by_chunk(spark, monkeypatch):
+    texts = [prose(60) for _ in range(6)]
+    repeats = [(i, f"{prose(20)} {texts[i % 6]} {prose(20)}") for i in range(24)]
+    df = spark.createDataFrame(repeats, "doc_id bigint, text string").repartition(3)
+    meet, seen = suffix_dedup._meet, []
+
+    def watched(sent, *how):
+        out = meet(sent, *how)
+        seen.append({tuple(r) for r in out.where("kind = 1").select("bucket", "salt", "chunk").collect()})
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_meet", watched)
+    assert got(suffix_dedup.removed_bytes(spark, df, fan=8, piece=1500, chunk=3000)) == brute_removed(repeats)
+    assert len(seen) > 1 and all(len({s for _, s, _ in x}) == len({c for *_, c in x}) > 1 for x in seen)
+
+
 @pytest.mark.parametrize("how", [{}, {"fan": 2, "piece": 300, "chunk": 900}])
 def test_suffix_dedup(spark, repeats, how):
     df = spark.createDataFrame([(d, t, 9) for d, t in repeats], "doc_id bigint, text string, n_bytes int").repartition(3)
