@@ -1,22 +1,28 @@
 """Near-duplicate classes: SimHash signatures in an LSH forest, exact Jaccard verification.
 
 Texts with the same set of five-word windows are one node. A node has a 256-bit SimHash of its set. The
-forest has tries over randomly permuted bits; a node's label in a trie is its permuted signature, and
-two nodes are compared where their labels share the trie's prefix. How deep prefixes go follows the
-density: starting where a prefix is expected to hold one node, the forest climbs to shorter ones as
-long as the tries needed for the target recall (at the similarity threshold) make that cheaper. Prefixes that
-still hold more than ``HOT`` nodes aren't compared there; their nodes form a denser forest of their own
-with deeper prefixes and as many tries as the recall needs, until none is left (at the last depth
-all are compared, whatever their number). The recall is the joint one of all tries, which read the same
-signature: a sum over the Hamming distances of a pair, within the radius; the forests share what may be missed.
+forest has several tries, each over bits in an order of its own; a node's label in a trie is the first ``LABEL`` bits
+of its signature in that order. Sorted labels are the trie: nodes that share a prefix lie together.
+
+A prefix is divided until a subtree holds ``LEAF`` nodes at most, so leaves are as deep as their part of the space is dense;
+leaves compare their nodes, and the search climbs from there, a bit at a time: at each shorter prefix the
+nodes of its two subtrees meet. It stops at the depth where all tries together reach the target recall at the similarity
+threshold. That depth and the number of tries follow the number of nodes, by cost. The recall is the joint one of
+all tries, which read the same signature: a sum over the Hamming distances of a pair, within the radius and within what a label shows of it.
+
+A subtree over ``HOT`` nodes climbs with fewer: those close to another one, which stands for them, stay behind. Where more
+than ``HOT`` are left on either side the climb ends; what is left forms a denser forest of its own, with deeper prefixes
+and as many tries as the recall needs, until nothing is left. Beyond ``DEEPEST`` bits all that meet are compared, whatever their number.
+The forests share what may be missed.
 
 The signature bits of very small sets differ more than their similarity says. Sets of up to ``SMALL`` windows aren't in the
 forest: they and the sets they can be similar to are joined exactly, on the rarest windows of each.
 
-Within a prefix, pairs within a Hamming radius are candidates; of pairs that are both very close to
-a third node only those with that node are sent on. Candidates are verified on their whole sets; where a
-pair with such a third node fails, the pairs it stood for are verified as well. Classes are the
-components of verified pairs.
+Pairs within a Hamming radius are candidates; of pairs that are both close to a third node only those with that node are
+sent on. Candidates are verified on their whole sets; where a pair fails, the pairs that its nodes stood for are verified as
+well, as far as their signatures allow. Classes are the components of verified pairs.
+
+Entries of the tries are three numbers (label, rest of the label, node number), so the forest shuffles 24 bytes an entry and never a text.
 """
 
 from __future__ import annotations
@@ -30,19 +36,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, ready, saved
+from .common import partitions, ready, saved, unused
 from .graph import components
 from .words import shingle_sets, slices
 
 BITS = 256
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99
-HOT = 4096
-LAST_DEPTH = 24
+#: Bits of a label in the first number (below the trie's number) and in both.
+HEAD, LABEL = 52, 116
+LEAF, HOT = 1024, 4096
+DEEPEST = 36
+#: What an entry costs, in comparisons: it is sorted and shuffled.
+ENTRY = 2000
 SMALL = 40
 STAR = 2000
+#: Nodes whose set fills a group are told apart from the others, so that its rows don't meet in one task. At most this many.
+CROWDED = 1000
+#: Document ids up to this number (16 bytes each) are sent to all executors; more are joined by shuffle.
+BROADCAST_IDS = 1 << 20
 _BLOCK = 2_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int32) * 2 - 1
+_SIG = ["s0", "s1", "s2", "s3"]
 
 
 def bit_agreement(similarity: float) -> float:
@@ -74,22 +89,43 @@ def bit_gap(similarity: float) -> float:
     return most
 
 
+@lru_cache
 def _distances(similarity: float) -> np.ndarray:
     """Chance of each Hamming distance of a pair at the similarity."""
     p = bit_gap(similarity)
     return np.array([math.comb(BITS, h) * p**h * (1 - p) ** (BITS - h) for h in range(BITS + 1)])
 
 
+@lru_cache
 def reach(similarity: float, recall: float) -> int:
     """The radius beyond which lies a twentieth of what may be missed."""
     return int(np.searchsorted(np.cumsum(_distances(similarity)), 1 - (1 - recall) / 20))
 
 
+@lru_cache
+def _shown(depth: int, h: int) -> np.ndarray:
+    """Chance that a label shows at most 0, 1, ... differing bits beyond a shared prefix, of ``h`` in all."""
+    n, all_ = LABEL - depth, math.comb(BITS - depth, h)
+    return np.cumsum([math.comb(n, k) * math.comb(BITS - depth - n, h - k) / all_ if h - k <= BITS - depth - n else 0.0 for k in range(min(n, h) + 1)])
+
+
+@lru_cache
+def label_reach(depth: int, near: int) -> int:
+    """Differing bits that a label may show: 98 of 100 pairs at the radius show no more."""
+    return int(np.searchsorted(_shown(depth, near), 0.98))
+
+
+@lru_cache
+def _chances(depth: int, near: int) -> np.ndarray:
+    """Chance that one trie finds a pair at each Hamming distance: the prefix is shared and the label shows little."""
+    most = label_reach(depth, near)
+    share = [math.comb(BITS - depth, h) / math.comb(BITS, h) for h in range(near + 1)]
+    return np.array([s * _shown(depth, h)[min(most, len(_shown(depth, h)) - 1)] for h, s in enumerate(share)])
+
+
 def joint_recall(depth: int, tries: int, similarity: float, near: int) -> float:
-    """Chance that a pair at the similarity is within the radius and shares the prefix in some trie; all tries read the same signature."""
-    h = np.arange(near + 1)[:, None]
-    share = np.prod(np.maximum(BITS - h - np.arange(depth), 0) / (BITS - np.arange(depth)), axis=1)
-    return float(_distances(similarity)[: near + 1] @ (1 - (1 - share) ** tries))
+    """Chance that a pair at the similarity is within the radius and found in some trie; all tries read the same signature."""
+    return float(_distances(similarity)[: near + 1] @ (1 - (1 - _chances(depth, near)) ** tries))
 
 
 @lru_cache
@@ -105,9 +141,9 @@ def tries_for(depth: int, similarity: float, recall: float) -> int:
 
 
 def plan(nodes: int, similarity: float = SIMILARITY, recall: float = RECALL, least: int = 4) -> tuple[int, int]:
-    """(depth, tries): from the depth of one node a prefix upwards, while that costs less (an entry 200 comparisons)."""
-    depth = max(least, min(LAST_DEPTH, math.ceil(math.log2(max(nodes, 2)))))
-    cost = lambda d: tries_for(d, similarity, recall) * (200.0 * nodes + nodes * nodes / 2 ** (d + 1))
+    """(depth, tries): the depth that the climb ends at, from that of one node a prefix upwards as long as that costs less."""
+    depth = max(least, min(DEEPEST, math.ceil(math.log2(max(nodes, 2)))))
+    cost = lambda d: tries_for(d, similarity, recall) * (ENTRY + nodes / 2 ** (d + 1))
     while depth > least and cost(depth - 1) <= cost(depth):
         depth -= 1
     return depth, tries_for(depth, similarity, recall)
@@ -133,12 +169,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def node_of(found: np.ndarray) -> bytes | None:
+def node_of(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else b""
 
 
+_MARKS = "doc_id bigint, node binary, num bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, size int, few binary, alike binary"
+_MARK_NAMES = ["doc_id", "node", "num", *_SIG, "size", "few", "alike"]
+
+
 def fingerprint(docs: DataFrame, few: int, alike: bool = False) -> DataFrame:
-    """doc_id, node, sig, size of each row, the set itself where it has ``few`` windows at most, and with ``alike`` the text's MD5; a null text has no node."""
+    """Of each row the node and its number in the forest, signature, size, the set itself where it has ``few`` windows at most, and with ``alike`` the text's MD5; a null text has no node."""
 
     def apply(batches):
         for batch in batches:
@@ -146,144 +186,195 @@ def fingerprint(docs: DataFrame, few: int, alike: bool = False) -> DataFrame:
             for low, high in slices(texts, _BLOCK):
                 some = texts[low:high].to_pylist()
                 sets = shingle_sets([x or "" for x in some], WIDTH)
-                sigs = signatures(sets)
+                sigs = signatures(sets).view("<i8")
                 nodes = [None if t is None else node_of(s) for t, s in zip(some, sets)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids[low:high], pa.array(nodes, pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() if 0 < len(s) <= few else None for s in sets], pa.binary()), sums[low:high]],
-                    names=["doc_id", "node", "sig", "size", "few", "alike"],
-                )
+                nums = [None if n is None else int.from_bytes(n[:8], "little", signed=True) for n in nodes]
+                columns = [ids[low:high], pa.array(nodes, pa.binary()), pa.array(nums, pa.int64()), *[pa.array(np.ascontiguousarray(sigs[:, k])) for k in range(4)], pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() if 0 < len(s) <= few else None for s in sets], pa.binary()), sums[low:high]]
+                yield pa.RecordBatch.from_arrays(columns, names=_MARK_NAMES)
 
     md5 = F.unhex(F.md5("text")) if alike else F.lit(None).cast("binary")
-    return docs.select("doc_id", "text", md5.alias("alike")).mapInArrow(apply, "doc_id bigint, node binary, sig binary, size int, few binary, alike binary")
-
-
-def compare(sig: np.ndarray, size: np.ndarray, near: int, tight: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (i, j, tight) among nodes of one prefix; pairs that a common tight neighbour stands for are left out."""
-    words = sig.view(np.uint64)
-    out_i, out_j, out_t = [], [], []
-    n = len(sig)
-    stood = np.full(n, -1)  # the node that stands for this one
-    step = max(1, min(n, 2_000_000 // n))
-    for a in range(0, n, step):
-        b = min(a + step, n)
-        d = np.zeros((b - a, n - a), np.uint16)
-        for w in range(words.shape[1]):
-            d += np.bitwise_count(words[a:b, None, w] ^ words[None, a:, w])
-        big, small = np.maximum(size[a:b, None], size[None, a:]), np.minimum(size[a:b, None], size[None, a:])
-        ok = (d <= near) & (small >= similarity * big)
-        ok &= np.arange(a, n)[None, :] > np.arange(a, b)[:, None]
-        for i in np.flatnonzero(ok.any(1)).tolist():
-            j = np.flatnonzero(ok[i]) + a
-            me = a + i
-            close = d[i, j - a] <= tight
-            if stood[me] >= 0:
-                other = stood[j] != stood[me]
-                j, close = j[other], close[other]
-                out_i.append(np.full(len(j), me))
-                out_j.append(j)
-                out_t.append(np.zeros(len(j), bool))
-            else:
-                out_i.append(np.full(len(j), me))
-                out_j.append(j)
-                out_t.append(close)
-                fresh = j[close & (stood[j] < 0)]
-                stood[fresh] = me
-                stood[me] = me
-    if not out_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_t)
+    return docs.select("doc_id", "text", md5.alias("alike")).mapInArrow(apply, _MARKS)
+
+
+class Climb:
+    """One prefix of a trie: sorted labels (``head``, ``rest``) and node numbers, searched from the leaves up to ``depth``.
+
+    ``pairs`` gets (a, b, tight); of pairs that are both tight to one node (``a``), which stands for them, only those with it.
+    """
+
+    def __init__(self, head: np.ndarray, rest: np.ndarray, num: np.ndarray, depth: int, near: int, tight: int, hot: int, whole: bool = False):
+        self.head, self.rest, self.num = head.view(np.uint64), rest.view(np.uint64), num
+        self.depth, self.near, self.tight, self.hot, self.whole = depth, near, tight, hot, whole
+        self.stood = np.full(len(num), -1)  # the node that stands for this one
+        self.over = False
+        self.pairs: tuple[list, list, list] = ([], [], [])
+
+    def run(self) -> np.ndarray:
+        """What is left for a denser forest: nothing, unless the prefix holds too many."""
+        alive = self._climb(0, len(self.num), self.depth)
+        return self.staying(alive) if self.over else alive[:0]
+
+    def staying(self, at: np.ndarray) -> np.ndarray:
+        """Nodes that no other stands for."""
+        return at[(self.stood[at] < 0) | (self.stood[at] == at)]
+
+    def _climb(self, low: int, high: int, depth: int) -> np.ndarray:
+        if high - low <= min(LEAF, self.hot):
+            own = np.arange(low, high)
+            self._meet(own, own, True)
+            return own
+        if depth < HEAD:
+            mid = low + int(np.searchsorted((self.head[low:high] >> np.uint64(HEAD - 1 - depth)) & np.uint64(1), 1))
+        else:
+            mid = (low + high) // 2
+        if mid in (low, high):
+            return self._climb(low, high, depth + 1)
+        left, right = self._climb(low, mid, depth + 1), self._climb(mid, high, depth + 1)
+        if len(left) + len(right) > self.hot:
+            left, right = self.staying(left), self.staying(right)
+            self.over |= not self.whole and max(len(left), len(right)) > self.hot
+        if not self.over:
+            self._meet(left, right, False)
+        return np.concatenate([left, right])
+
+    def _meet(self, rows: np.ndarray, cols: np.ndarray, same: bool) -> None:
+        """Compare rows with columns, least numbers first, so that the pairs don't depend on the order of arrival.
+
+        Where two subtrees meet, nodes that stand for others come first: if they are close, one's nodes pass to the other.
+        """
+        leads = np.zeros(len(rows), bool) if same else self.stood[rows] == rows
+        rows = rows[np.lexsort((self.num[rows], ~leads))]
+        cols = rows if same else cols[np.argsort(self.num[cols], kind="stable")]
+        step = max(1, (1 << 16) // max(1, len(cols)))
+        for a in range(0, len(rows), step):
+            r, c = rows[a : a + step], cols[a:] if same else cols
+            d = np.bitwise_count(self.head[r][:, None] ^ self.head[c]) + np.bitwise_count(self.rest[r][:, None] ^ self.rest[c])
+            ok = d <= self.near
+            if same:
+                ok &= np.arange(len(c)) > np.arange(len(r))[:, None]
+            for i in np.flatnonzero(ok.any(1)).tolist():
+                me, at = r[i], np.flatnonzero(ok[i])
+                j, close = c[at], d[i, at] <= self.tight
+                if self.stood[me] >= 0:
+                    other = self.stood[j] != self.stood[me]
+                    j, close = j[other], close[other]
+                if 0 <= self.stood[me] != me:
+                    close[:] = False
+                else:
+                    fresh, led = j[close & (self.stood[j] < 0)], j[close & (self.stood[j] == j)]
+                    if len(fresh) or len(led):
+                        self.stood[fresh], self.stood[me] = me, me
+                        self.stood[np.isin(self.stood, led)] = me
+                self.pairs[0].append(np.full(len(j), self.num[me]))
+                self.pairs[1].append(self.num[j])
+                self.pairs[2].append(close)
 
 
 def _enter(nodes: DataFrame, depth: int, tries: int, seed: int) -> DataFrame:
-    """An entry (key, node, sig, size) a trie and node; the key is the trie and the label's prefix."""
-    order = [np.random.default_rng((seed, t)).permutation(BITS)[:depth] for t in range(tries)]
-    power = (np.uint64(1) << np.arange(depth, dtype=np.uint64))
+    """An entry (head, rest, num) a trie and node: the trie's number and the label's first bits, the label's other bits, the node."""
+    order = [np.random.default_rng((seed, t)).permutation(BITS)[:LABEL] for t in range(tries)]
+
+    def number(bits):
+        return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u8")[:, 0].astype(np.uint64)
 
     def apply(batches):
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(n, -1), axis=1)
+            sig = np.stack([batch.column(1 + k).to_numpy() for k in range(4)], 1).astype("<i8")
+            bits = np.unpackbits(sig.view(np.uint8), axis=1)
             for t, o in enumerate(order):
-                key = (bits[:, o].astype(np.uint64) @ power) ^ (np.uint64(t) << np.uint64(depth))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["key", "node", "sig", "size"])
+                own = bits[:, o]
+                head = number(np.concatenate([np.zeros((n, 64 - HEAD), np.uint8), own[:, :HEAD]], 1)) | (np.uint64(t) << np.uint64(HEAD))
+                yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), pa.array(number(own[:, HEAD:]).view(np.int64)), batch.column(0)], names=["head", "rest", "num"])
 
-    return nodes.select("node", "sig", "size").mapInArrow(apply, "key bigint, node binary, sig binary, size int")
+    if tries > 1 << (63 - HEAD):
+        raise ValueError("too many tries for a label's head")
+    return nodes.select("num", *_SIG).mapInArrow(apply, "head bigint, rest bigint, num bigint")
 
 
-_FOUND = "a binary, b binary, tight boolean, sig binary, size int"
-_FOUND_SCHEMA = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("tight", pa.bool_()), ("sig", pa.binary()), ("size", pa.int32())])
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tight", pa.bool_())])
+#: Entries of one prefix that a task holds at most before it leaves those behind that another one stands for.
+HELD = 1 << 20
 
 
-def _search(entries: DataFrame, near: int, tight: int, similarity: float, hot: int, parts: int) -> DataFrame:
-    """Candidates (a, b, tight), and nodes of prefixes over ``hot`` (a, sig, size; b null)."""
+def _search(entries: DataFrame, depth: int, near: int, tight: int, hot: int, whole: bool, parts: int) -> DataFrame:
+    """Candidates (a, b, tight), and nodes of prefixes that hold too many (a; b null)."""
+    shift = HEAD - depth
 
     def apply(batches):
-        key, nodes, sigs, sizes, over = None, [], [], [], False
-        out = [[], [], [], [], []]
-
-        def pair():
-            if len(nodes) > 1:
-                order = sorted(range(len(nodes)), key=nodes.__getitem__)  # the same pairs whatever the arrival
-                own = [nodes[k] for k in order]
-                i, j, t = compare(np.frombuffer(b"".join([sigs[k] for k in order]), np.uint8).reshape(len(own), -1), np.array([sizes[k] for k in order]), near, tight, similarity)
-                out[0] += [own[k] for k in i.tolist()]
-                out[1] += [own[k] for k in j.tolist()]
-                out[2] += t.tolist()
-                out[3] += [None] * len(i)
-                out[4] += [None] * len(i)
-
-        def pass_on():
-            out[0] += nodes
-            out[1] += [None] * len(nodes)
-            out[2] += [False] * len(nodes)
-            out[3] += sigs
-            out[4] += sizes
+        out: list[pa.RecordBatch] = []
+
+        def search(held):
+            head, rest, num = (np.concatenate(x) for x in zip(*held))
+            if len(num) < 2:
+                return None, num[:0]
+            climb = Climb(head, rest, num, depth, near, tight, hot, whole)
+            left = climb.run()
+            if climb.pairs[0]:
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in climb.pairs], schema=_FOUND))
+            return climb, left
+
+        def pass_on(num):
+            if len(num):
+                out.append(pa.RecordBatch.from_arrays([pa.array(num), pa.nulls(len(num), pa.int64()), pa.nulls(len(num), pa.bool_())], schema=_FOUND))
+
+        key, held, size, over = None, [], 0, False
+
+        def close():
+            if size > 1 or over and held:
+                climb, left = search(held)
+                pass_on(climb.num[climb.staying(np.arange(len(climb.num)))] if over and climb is not None else held[0][2] if over else climb.num[left])
 
         for batch in batches:
-            keys = batch.column("key").to_pylist()
-            for k, node, sig, size in zip(keys, batch.column("node").to_pylist(), batch.column("sig").to_pylist(), batch.column("size").to_pylist()):
-                if k != key:
-                    pass_on() if over else pair()
-                    key, nodes, sigs, sizes, over = k, [], [], [], False
-                nodes.append(node)
-                sigs.append(sig)
-                sizes.append(size)
-                if hot and len(nodes) > hot:
-                    over = True
-                    pass_on()
-                    nodes, sigs, sizes = [], [], []
-            if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND_SCHEMA)], schema=_FOUND_SCHEMA)
-                out = [[], [], [], [], []]
-        pass_on() if over else pair()
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND_SCHEMA)], schema=_FOUND_SCHEMA)
-
-    return entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(apply, _FOUND)
-
-
-def candidates(spark: SparkSession, nodes: DataFrame, similarity: float, recall: float, hot: int = HOT) -> DataFrame:
-    """Pairs (a, b, tight) of the forest, each once."""
-    tight, found, least, level = radius(0.93, 0.0), None, 4, 0
+            head, rest, num = (c.to_numpy() for c in batch.columns)
+            keys = head >> shift
+            ends = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys)).tolist() if len(keys) else []
+            at = 0
+            for end in ends:
+                if keys[at] != key:
+                    close()
+                    key, held, size, over = keys[at], [], 0, False
+                held.append((head[at:end], rest[at:end], num[at:end]))
+                size += end - at
+                if size > HELD:
+                    climb, left = search(held)
+                    stay = climb.staying(np.arange(size))
+                    if climb.over or len(stay) > HELD // 2 and not whole:
+                        pass_on(climb.num[stay])
+                        over, held, size = True, [], 0
+                    else:
+                        held, size = [(climb.head[stay].view(np.int64), climb.rest[stay].view(np.int64), climb.num[stay])], len(stay)
+                at = end
+            yield from out
+            out.clear()
+        close()
+        yield from out
+
+    key = F.shiftright("head", shift)
+    return entries.repartition(parts, key).sortWithinPartitions("head", "rest", "num").mapInArrow(apply, "a bigint, b bigint, tight boolean")
+
+
+def candidates(spark: SparkSession, nodes: DataFrame, similarity: float, recall: float, hot: int | None = None) -> DataFrame:
+    """Pairs (a, b, tight) of node numbers that the forest finds, each once; where tight, ``a`` stands for ``b``. ``nodes`` has num and the signature."""
+    hot, found, least, level = hot or HOT, None, 4, 0
     while True:
         n = nodes.count()
         if n < 2:
             break
         own = 1 - (1 - recall) * 2 / 3 ** (level + 1)  # all levels together miss no more than 1 - recall
-        near = reach(similarity, own)
         depth, tries = plan(n, similarity, own, least)
-        last = depth >= LAST_DEPTH
-        got = saved(_search(_enter(nodes, depth, tries, level), near, tight, similarity, 0 if last else hot, partitions(spark)))
-        pairs = got.where("b is not null").select("a", "b", "tight")
+        near, tight = label_reach(depth, reach(similarity, own)), int((1 - bit_agreement(0.93)) * (LABEL - depth))
+        got = saved(_search(_enter(nodes, depth, tries, level), depth, near, tight, hot, depth >= DEEPEST, partitions(spark)))
+        pairs = got.where("b is not null")
         found = pairs if found is None else found.unionByName(pairs)
-        if last:
+        if depth >= DEEPEST:
             break
-        nodes = saved(got.where("b is null").groupBy(F.col("a").alias("node")).agg(F.first("sig").alias("sig"), F.first("size").alias("size")))
-        least, level = min(LAST_DEPTH, depth + 6), level + 1
+        nodes = saved(nodes.join(got.where("b is null").select(F.col("a").alias("num")).distinct(), "num", "left_semi"))
+        least, level = min(DEEPEST, depth + 6), level + 1
     if found is None:
-        return spark.createDataFrame([], "a binary, b binary, tight boolean")
+        return spark.createDataFrame([], "a bigint, b bigint, tight boolean")
     return saved(found.groupBy("a", "b").agg(F.max("tight").alias("tight")))
 
 
@@ -380,7 +471,8 @@ def verify(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes ``wanted`` (node, doc_id): the texts are read again and only those documents' sets kept.
 
-    A node comes more than once only where texts of one doc_id differ and have the same set.
+    Texts are shuffled only where there are more ids than may be sent around. A node comes more than once only where texts of
+    one doc_id differ and have the same set.
     """
 
     def apply(batches):
@@ -391,33 +483,67 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["node", "shingles"])
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
-    # Rows alike go once; they lie together already, by doc_id.
+    side = F.broadcast(wanted) if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
+    rows = docs.select("doc_id", "text").join(side, "doc_id")
+    # Rows alike go once.
     rows = rows.withColumn("alike", F.md5("text")).dropDuplicates(["doc_id", "node", "alike"]).select("node", "text")
     return rows.mapInArrow(apply, "node binary, shingles binary")
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and says in ``weight`` how many rows of ``left`` have it.
+
+    The keys of more than one in ``CROWDED`` rows, so that many at most, are sent around: their rows don't meet in one task.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    crowd = right.where(F.col(weight) * CROWDED > total)
+    rest = left.join(F.broadcast(crowd.select(key)), key, "left_anti")
+    return left.join(F.broadcast(crowd), key).unionByName(rest.join(right, key))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _fit(pairs: DataFrame, fine: DataFrame, on: str, similarity: float, recall: float) -> DataFrame:
+    """``pairs`` (a, b of column ``on`` of ``fine``) as nodes, where sizes and whole signatures fit the similarity; other columns stay."""
+    own = lambda e: fine.select(F.col(on).alias(e), *[F.col(c).alias(f"{c}_{e}") for c in {"node", "size", *_SIG} - {on}])
+    both = pairs.join(own("a"), "a").join(own("b"), "b")
+    apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SIG[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    fit = (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")) & (apart <= reach(similarity, 1 - (1 - recall) / 100))
+    ends = [F.col(e if on == "node" else f"node_{e}").alias(e) for e in "ab"]
+    return both.where(fit).select(*ends, *[c for c in pairs.columns if c not in "ab"]).where("a <> b")
+
+
 def _classified(spark: SparkSession, docs: DataFrame, similarity: float, recall: float, alike: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The marks of all rows, and node, doc_id (the least of the node), class_id, class_size and root (the class) of every node."""
+    """The marks of all rows, and node, doc_id (the least of the node), rows, class_id, class_size and root (the class) of every node."""
     ready(spark)
-    few = int(SMALL / similarity)
+    few, parts = int(SMALL / similarity), partitions(spark)
     marks = saved(fingerprint(docs, few, alike))
-    nodes = saved(marks.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.first("few").alias("few")))
-    pairs = candidates(spark, nodes.where(F.col("size") > SMALL).select("node", "sig", "size"), similarity, recall)
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = saved(sets_of(docs, nodes.join(ends, "node", "left_semi").select("node", "doc_id")))
-    judged = saved(verify(pairs.select("a", "b"), sets, partitions(spark)))
+    first = [F.first(c).alias(c) for c in ("num", *_SIG, "size", "few")]
+    nodes = saved(marks.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), *first))
+    found = candidates(spark, nodes.where(F.col("size") > SMALL), similarity, recall)
+    numbers = found.select(F.explode(F.array("a", "b")).alias("num")).distinct()
+    fine = saved(nodes.join(numbers, "num", "left_semi").select("num", "node", "doc_id", "size", *_SIG))
+    # Two nodes of one number are told apart here: a pair of numbers stands for all pairs of their nodes.
+    pairs = saved(_fit(found, fine, "num", similarity, recall))
+    compared = saved(_ordered(pairs))
+    ends = compared.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = saved(sets_of(docs, saved(fine.join(ends, "node", "left_semi").select("node", "doc_id"))))
+    judged = saved(verify(compared, sets, parts))
     linked = judged.where(F.col("jaccard") >= similarity).select("a", "b")
-    # Where a node isn't what it stood near to, the pairs that were left out for it are verified too.
-    close = pairs.where("tight")
-    failed = close.join(judged.where(F.col("jaccard") < similarity), ["a", "b"], "left_semi").select("a", F.col("b").alias("x"))
-    again = failed.join(close, "a").where("x <> b").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    linked = linked.unionByName(verify(again, sets, partitions(spark)).where(F.col("jaccard") >= similarity).select("a", "b"))
-    linked = linked.unionByName(small_links(nodes.where("few is not null").select("node", "size", "few"), similarity, partitions(spark)))
+    # Where a pair fails, those pairs are verified as well that weren't sent on as their nodes stood for others in it.
+    close = pairs.where("tight").select("a", F.col("b").alias("x")).distinct()
+    close = saved(close.unionByName(close.select("a", F.col("a").alias("x")).distinct()))
+    lost = judged.where(F.col("jaccard") < similarity).select("a", "b")
+    others = lost.join(close.select("a", F.col("x").alias("xa")), "a", "left").join(close.select(F.col("a").alias("b"), F.col("x").alias("xb")), "b", "left").where("xa is not null or xb is not null")
+    again = _ordered(_fit(others.select(F.coalesce("xa", "a").alias("a"), F.coalesce("xb", "b").alias("b")), fine, "node", similarity, recall)).join(compared, ["a", "b"], "left_anti")
+    linked = linked.unionByName(verify(saved(again), sets, parts).where(F.col("jaccard") >= similarity).select("a", "b"))
+    linked = linked.unionByName(small_links(nodes.where("few is not null").select("node", "size", "few"), similarity, parts))
     roots = components(linked)
-    classed = nodes.select("node", "doc_id", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
-    return marks, classed.join(classes, "root").select("node", "doc_id", "root", "class_id", "class_size")
+    classed = saved(nodes.select("node", "doc_id", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    classes = saved(classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"), F.count("*").alias("nodes")))
+    return marks, spread_join(classed, classes, "root", "nodes").select("node", "doc_id", "rows", "root", "class_id", "class_size")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -428,8 +554,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     row without a doc_id (its class_id is null). Rows of one doc_id and text count as copies. Other columns are ignored.
     """
     marks, named = _classified(spark, docs, similarity, recall)
-    named = named.select("node", "class_id", "class_size")
-    known = marks.where("node is not null and doc_id is not null").select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
+    named = saved(named.select("node", "class_id", "class_size", "rows"))
+    known = spread_join(marks.where("node is not null and doc_id is not null").select("doc_id", "node"), named, "node", "rows").select("doc_id", "class_id", "class_size")
     alone = marks.where("node is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return known.unionByName(alone)
 
@@ -441,7 +567,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARIT
     """
     marks, named = _classified(spark, docs, similarity, RECALL, alike=True)
     least = named.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
-    first = marks.join(least, ["doc_id", "node"]).groupBy("doc_id", "node").agg(F.min("alike").alias("__alike")).select("doc_id", "__alike")
-    kept = docs.where("text is not null").withColumn("__alike", F.unhex(F.md5("text"))).join(first, ["doc_id", "__alike"], "left_semi")
-    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__alike").orderBy("text"))).where("__n = 1").select(docs.columns)
+    alike, n = unused(docs.columns, "alike"), unused(docs.columns, "n")
+    first = marks.join(least, ["doc_id", "node"]).groupBy("doc_id", "node").agg(F.min("alike").alias(alike)).select("doc_id", alike)
+    kept = docs.where("text is not null").withColumn(alike, F.unhex(F.md5("text"))).join(first, ["doc_id", alike], "left_semi")
+    kept = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", alike).orderBy("text"))).where(F.col(n) == 1).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null or text is null"))

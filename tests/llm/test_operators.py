@@ -206,7 +206,6 @@ def near_copies(rng):
 @pytest.mark.parametrize("hot", [4096, 6])
 def test_near_duplicates(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash_forest, "HOT", hot)
-    monkeypatch.setattr(simhash_forest.candidates, "__defaults__", (hot,))
     monkeypatch.setattr(simhash_forest, "STAR", 5)
     rows = list(enumerate(near_copies(random.Random(3)) + ["", " ", "one two", "One, two.", "a b c d e"])) + [(500, None), (501, None), (None, "x")]
     rows.append((2, rows[2][1]))
@@ -290,24 +289,87 @@ def test_simhash_bits():
     assert np.bitwise_count(s[0] ^ s[1]).sum() < simhash_forest.radius(0.8, 3)
 
 
-def test_compare_keeps_connections():
-    rng = np.random.default_rng(6)
-    center = rng.integers(0, 256, (3, 32), np.uint8)
-    sig = np.repeat(center, 20, 0)
-    for r in sig:
-        r[rng.integers(0, 32, 2)] ^= 1
-    i, j, _ = simhash_forest.compare(sig, np.full(60, 50), 56, 24, 0.8)
-    assert len(i) < 60 * 3  # stars, not all pairs
-    up = list(range(60))
+def sorted_labels(sig):
+    """Of 128-bit signatures the first bits as a trie's head (trie 0), the rest, and numbers, in the order of the trie."""
+    bits = np.unpackbits(sig, axis=1)
+    head = np.ascontiguousarray(np.packbits(np.concatenate([np.zeros((len(sig), 12), np.uint8), bits[:, :52]], 1), axis=1)).view(">u8")[:, 0].astype(np.int64)
+    rest = np.ascontiguousarray(np.packbits(bits[:, 52:116], axis=1)).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
+    order = np.lexsort((rest, head))
+    return head[order], rest[order], order.astype(np.int64)
+
+
+def roots_of(n, pairs):
+    up = list(range(n))
 
     def find(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for a, b in zip(i.tolist(), j.tolist()):
+    for a, b in pairs:
         up[find(a)] = find(b)
-    assert len({find(x) for x in range(60)}) == 3
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("hot", [4096, 16])
+def test_climb_keeps_connections(hot, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(simhash_forest, "LEAF", 8)
+    sig = np.repeat(rng.integers(0, 256, (3, 16), np.uint8), 30, 0)
+    for r in sig:
+        r[rng.integers(0, 14, 2)] ^= 1
+    climb = simhash_forest.Climb(*sorted_labels(sig), 0, 33, 9, hot)
+    assert not len(climb.run())  # stars shrink, so nothing is over
+    pairs = list(zip(*(np.concatenate(x).tolist() for x in climb.pairs[:2])))
+    assert len(pairs) < 90 * 4
+    assert len(set(roots_of(90, pairs))) == 3
+
+
+def test_climb_meets_all_pairs_or_passes_on():
+    rng = np.random.default_rng(7)
+    sig = np.repeat(rng.integers(0, 256, (40, 16), np.uint8), 5, 0)
+    for r in sig:
+        at = rng.choice(112, 14, False)
+        r[at // 8] ^= (1 << (at % 8)).astype(np.uint8)  # within the radius, but not close
+    labels = sorted_labels(sig)
+    climb = simhash_forest.Climb(*labels, 0, 33, 5, 4096)
+    assert not len(climb.run())
+    found = set(map(frozenset, zip(*(np.concatenate(x).tolist() for x in climb.pairs[:2]))))
+    bits = np.unpackbits(sig, axis=1)[:, :116]
+    apart = (bits[:, None] != bits[None]).sum(2)
+    assert found == {frozenset((i, j)) for i in range(200) for j in range(i) if apart[i, j] <= 33}
+    dense = simhash_forest.Climb(*labels, 0, 33, 5, 20)
+    assert sorted(dense.num[dense.run()].tolist()) == list(range(200))  # none stands for another: all go on
+    whole = simhash_forest.Climb(*labels, 0, 33, 5, 20, whole=True)
+    assert not len(whole.run())
+    assert set(map(frozenset, zip(*(np.concatenate(x).tolist() for x in whole.pairs[:2])))) == found
+
+
+def test_label_recall_is_that_of_drawn_pairs():
+    """The planned recall against pairs drawn at the threshold, through real tries."""
+    rng = np.random.default_rng(8)
+    depth, tries = simhash_forest.plan(250_000)
+    near = simhash_forest.reach(0.8, simhash_forest.RECALL)
+    most, n = simhash_forest.label_reach(depth, near), 4000
+    differs = rng.random((n, 256)) < simhash_forest.bit_gap(0.8)
+    found = np.zeros(n, bool)
+    for t in range(tries):
+        own = differs[:, np.random.default_rng((0, t)).permutation(256)[: simhash_forest.LABEL]]
+        found |= ~own[:, :depth].any(1) & (own.sum(1) <= most)
+    assert (found & (differs.sum(1) <= near)).mean() >= simhash_forest.RECALL - 0.005
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, "one two three", 5, "a"), (2, "one two three", 6, "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n int, alike string")
+    assert got(simhash_forest.keep_one(spark, df)) == [rows[0]]
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(simhash_forest, "CROWDED", 3)
+    left = spark.createDataFrame([(k,) for k in [1] * 10 + [2] * 2 + [3]], "k int")
+    right = spark.createDataFrame([(1, 10, "a"), (2, 2, "b"), (3, 1, "c")], "k int, n long, v string")
+    assert got(simhash_forest.spread_join(left, right, "k", "n")) == sorted([(1, 10, "a")] * 10 + [(2, 2, "b")] * 2 + [(3, 1, "c")])
 
 
 def test_components(spark):
