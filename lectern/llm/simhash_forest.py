@@ -19,8 +19,9 @@ The signature bits of very small sets differ more than their similarity says. Se
 forest: they and the sets they can be similar to are joined exactly, on the rarest windows of each.
 
 Pairs within a Hamming radius are candidates; of pairs that are both close to a third node only those with that node are
-sent on. Candidates are verified on their whole sets; where a pair fails, the pairs that its nodes stood for are verified as
-well, as far as their signatures allow. Classes are the components of verified pairs.
+sent on. Candidates are verified on their whole sets, each node's nearest first and then those that aren't connected yet; where a
+pair fails, the pairs that its nodes stood for are verified as well, as far as their signatures allow. Classes are the
+components of verified pairs.
 
 Entries of the tries are three numbers (label, rest of the label, node number), so the forest shuffles 24 bytes an entry and never a text.
 """
@@ -50,6 +51,10 @@ DEEPEST = 36
 ENTRY = 2000
 SMALL = 40
 STAR = 2000
+#: Pairs of a node that are verified in each round; the last has all that are left.
+NEAREST = (2, None)
+#: A node stands for others that are as near as sets of this similarity are.
+CLOSE = 0.88
 #: Nodes whose set fills a group are told apart from the others, so that its rows don't meet in one task. At most this many.
 CROWDED = 1000
 #: Document ids up to this number (16 bytes each) are sent to all executors; more are joined by shuffle.
@@ -365,7 +370,7 @@ def candidates(spark: SparkSession, nodes: DataFrame, similarity: float, recall:
             break
         own = 1 - (1 - recall) * 2 / 3 ** (level + 1)  # all levels together miss no more than 1 - recall
         depth, tries = plan(n, similarity, own, least)
-        near, tight = label_reach(depth, reach(similarity, own)), int((1 - bit_agreement(0.93)) * (LABEL - depth))
+        near, tight = label_reach(depth, reach(similarity, own)), int((1 - bit_agreement(CLOSE)) * (LABEL - depth))
         got = saved(_search(_enter(nodes, depth, tries, level), depth, near, tight, hot, depth >= DEEPEST, partitions(spark)))
         pairs = got.where("b is not null")
         found = pairs if found is None else found.unionByName(pairs)
@@ -501,10 +506,6 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> Dat
     return left.join(F.broadcast(crowd), key).unionByName(rest.join(right, key))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def _fit(pairs: DataFrame, fine: DataFrame, on: str, similarity: float, recall: float) -> DataFrame:
     """``pairs`` (a, b of column ``on`` of ``fine``) as nodes, where sizes and whole signatures fit the similarity; other columns stay."""
     own = lambda e: fine.select(F.col(on).alias(e), *[F.col(c).alias(f"{c}_{e}") for c in {"node", "size", *_SIG} - {on}])
@@ -512,7 +513,37 @@ def _fit(pairs: DataFrame, fine: DataFrame, on: str, similarity: float, recall:
     apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SIG[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
     fit = (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")) & (apart <= reach(similarity, 1 - (1 - recall) / 100))
     ends = [F.col(e if on == "node" else f"node_{e}").alias(e) for e in "ab"]
-    return both.where(fit).select(*ends, *[c for c in pairs.columns if c not in "ab"]).where("a <> b")
+    return both.where(fit).select(*ends, *[c for c in pairs.columns if c not in "ab"], apart.alias("apart")).where("a <> b")
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` whose ends aren't in one component."""
+    own = lambda e: roots.select(F.col("node").alias(e), F.col("root").alias(f"root_{e}"))
+    both = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+
+
+def _judge(compared: DataFrame, sets: DataFrame, known: DataFrame, similarity: float, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Components (node, root) of the links ``known`` and of the pairs ``compared`` (a, b, apart) that are similar, and the pairs that proved not to be.
+
+    Each node's nearest pairs are verified first; pairs that these connect needn't be, so of a large group of
+    copies some pairs a node are, and not all.
+    """
+    left, roots, lost = compared, None, None
+    for nearest in NEAREST:
+        pick = left
+        if nearest:
+            order = Window.partitionBy("node").orderBy("apart", "a", "b")
+            ends = left.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "apart")
+            pick = saved(ends.withColumn("n", F.row_number().over(order)).where(F.col("n") <= nearest).select("a", "b").distinct())
+        judged = saved(verify(pick.select("a", "b"), sets, parts))
+        links = judged.where(F.col("jaccard") >= similarity).select("a", "b")
+        roots = components(links.unionByName(known if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        failed = judged.where(F.col("jaccard") < similarity).select("a", "b")
+        lost = failed if lost is None else lost.unionByName(failed)
+        if nearest:
+            left = saved(_across(left.join(pick, ["a", "b"], "left_anti"), roots))
+    return roots, lost
 
 
 def _classified(spark: SparkSession, docs: DataFrame, similarity: float, recall: float, alike: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -527,20 +558,20 @@ def _classified(spark: SparkSession, docs: DataFrame, similarity: float, recall:
     fine = saved(nodes.join(numbers, "num", "left_semi").select("num", "node", "doc_id", "size", *_SIG))
     # Two nodes of one number are told apart here: a pair of numbers stands for all pairs of their nodes.
     pairs = saved(_fit(found, fine, "num", similarity, recall))
-    compared = saved(_ordered(pairs))
+    compared = saved(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("apart").alias("apart")))
     ends = compared.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = saved(sets_of(docs, saved(fine.join(ends, "node", "left_semi").select("node", "doc_id"))))
-    judged = saved(verify(compared, sets, parts))
-    linked = judged.where(F.col("jaccard") >= similarity).select("a", "b")
+    small = small_links(nodes.where("few is not null").select("node", "size", "few"), similarity, parts)
+    roots, lost = _judge(compared, sets, small, similarity, parts)
     # Where a pair fails, those pairs are verified as well that weren't sent on as their nodes stood for others in it.
     close = pairs.where("tight").select("a", F.col("b").alias("x")).distinct()
     close = saved(close.unionByName(close.select("a", F.col("a").alias("x")).distinct()))
-    lost = judged.where(F.col("jaccard") < similarity).select("a", "b")
-    others = lost.join(close.select("a", F.col("x").alias("xa")), "a", "left").join(close.select(F.col("a").alias("b"), F.col("x").alias("xb")), "b", "left").where("xa is not null or xb is not null")
-    again = _ordered(_fit(others.select(F.coalesce("xa", "a").alias("a"), F.coalesce("xb", "b").alias("b")), fine, "node", similarity, recall)).join(compared, ["a", "b"], "left_anti")
-    linked = linked.unionByName(verify(saved(again), sets, parts).where(F.col("jaccard") >= similarity).select("a", "b"))
-    linked = linked.unionByName(small_links(nodes.where("few is not null").select("node", "size", "few"), similarity, parts))
-    roots = components(linked)
+    others = _across(lost, roots).join(close.select("a", F.col("x").alias("xa")), "a", "left").join(close.select(F.col("a").alias("b"), F.col("x").alias("xb")), "b", "left").where("xa is not null or xb is not null")
+    others = _across(others.select(F.coalesce("xa", "a").alias("a"), F.coalesce("xb", "b").alias("b")), roots)
+    again = _fit(others, fine, "node", similarity, recall).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+    linked = saved(verify(saved(again), sets, parts).where(F.col("jaccard") >= similarity).select("a", "b"))
+    if not linked.isEmpty():
+        roots = components(linked.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     classed = saved(nodes.select("node", "doc_id", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     classes = saved(classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"), F.count("*").alias("nodes")))
     return marks, spread_join(classed, classes, "root", "nodes").select("node", "doc_id", "rows", "root", "class_id", "class_size")
