@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import uuid
@@ -65,6 +66,24 @@ def saved(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """A table in the shared folder, bucketed by ``key``: what is joined with it by that key comes to it. It goes when the driver ends."""
+    spark = df.sparkSession
+    n, name = partitions(spark), f"lectern_{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{name}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    atexit.register(_forget, spark, name, path)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str, path: str) -> None:
+    try:
+        spark.sql(f"drop table if exists {name}")
+        drop(urlparse(path).path)
+    except Exception:  # noqa: BLE001, S110 - the session has ended
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, ready, saved, unused
+from .common import bucketed, partitions, ready, saved, unused
 from .graph import components
 from .words import shingle_sets, slices
 
@@ -50,9 +50,11 @@ DEEPEST = 36
 #: What an entry costs, in comparisons: it is sorted and shuffled.
 ENTRY = 2000
 SMALL = 40
+#: Bytes of a window's hash that a set is verified by: two unlike windows of a pair agree in one of 10**7 pairs of usual size.
+SHOWN = 5
 STAR = 2000
 #: Pairs of a node that are verified in each round; the last has all that are left.
-NEAREST = (2, None)
+NEAREST = (2, 8, None)
 #: A node stands for others that are as near as sets of this similarity are.
 CLOSE = 0.88
 #: Nodes whose set fills a group are told apart from the others, so that its rows don't meet in one task. At most this many.
@@ -103,8 +105,8 @@ def _distances(similarity: float) -> np.ndarray:
 
 @lru_cache
 def reach(similarity: float, recall: float) -> int:
-    """The radius beyond which lies a twentieth of what may be missed."""
-    return int(np.searchsorted(np.cumsum(_distances(similarity)), 1 - (1 - recall) / 20))
+    """The radius beyond which lies a tenth of what may be missed."""
+    return int(np.searchsorted(np.cumsum(_distances(similarity)), 1 - (1 - recall) / 10))
 
 
 @lru_cache
@@ -442,8 +444,20 @@ def small_links(few: DataFrame, similarity: float, parts: int) -> DataFrame:
     return entries.repartition(parts, "window").sortWithinPartitions("window", "node").mapInArrow(apply, "a binary, b binary")
 
 
+def packed(found: np.ndarray) -> bytes:
+    """A set's hashes, ``SHOWN`` bytes each."""
+    low = np.unique(found & np.uint64((1 << 8 * SHOWN) - 1))
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHOWN].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SHOWN, 8), np.uint8)
+    out[:, :SHOWN] = np.frombuffer(data, np.uint8).reshape(-1, SHOWN)
+    return out.reshape(-1).view("<u8")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) with their exact Jaccard similarity.
+    """Pairs (a, b) with the Jaccard similarity of their whole sets.
 
     A node's set meets the sets of its partners in sorted order, one partner at a time in memory; a node with over
     ``STAR`` partners is copied to as many groups as it needs.
@@ -458,7 +472,7 @@ def verify(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             rows = []
             for a, b, data in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles").to_pylist()):
-                found = np.frombuffer(data, np.uint64)
+                found = unpacked(data)
                 if b is None:
                     own, base = a, found
                 elif a == own:
@@ -484,7 +498,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for low, high in slices(batch.column("text"), _BLOCK):
                 found = shingle_sets([x or "" for x in batch.column("text")[low:high].to_pylist()], WIDTH)
-                rows = [(w, s.tobytes()) for w, s in zip(batch.column("node")[low:high].to_pylist(), found) if node_of(s) == w]
+                rows = [(w, packed(s)) for w, s in zip(batch.column("node")[low:high].to_pylist(), found) if node_of(s) == w]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["node", "shingles"])
 
@@ -511,7 +525,7 @@ def _fit(pairs: DataFrame, fine: DataFrame, on: str, similarity: float, recall:
     own = lambda e: fine.select(F.col(on).alias(e), *[F.col(c).alias(f"{c}_{e}") for c in {"node", "size", *_SIG} - {on}])
     both = pairs.join(own("a"), "a").join(own("b"), "b")
     apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SIG[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-    fit = (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")) & (apart <= reach(similarity, 1 - (1 - recall) / 100))
+    fit = (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")) & (apart <= reach(similarity, recall))
     ends = [F.col(e if on == "node" else f"node_{e}").alias(e) for e in "ab"]
     return both.where(fit).select(*ends, *[c for c in pairs.columns if c not in "ab"], apart.alias("apart")).where("a <> b")
 
@@ -560,7 +574,8 @@ def _classified(spark: SparkSession, docs: DataFrame, similarity: float, recall:
     pairs = saved(_fit(found, fine, "num", similarity, recall))
     compared = saved(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("apart").alias("apart")))
     ends = compared.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = saved(sets_of(docs, saved(fine.join(ends, "node", "left_semi").select("node", "doc_id"))))
+    # Partitioned by node, so that each round moves its pairs and not all sets.
+    sets = bucketed(sets_of(docs, saved(fine.join(ends, "node", "left_semi").select("node", "doc_id"))), "node")
     small = small_links(nodes.where("few is not null").select("node", "size", "few"), similarity, parts)
     roots, lost = _judge(compared, sets, small, similarity, parts)
     # Where a pair fails, those pairs are verified as well that weren't sent on as their nodes stood for others in it.
