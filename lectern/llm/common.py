@@ -5,13 +5,17 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that more than one in so many rows have are sent around in ``spread_join``; there are no more of them than that.
+CROWDED = 1000
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -53,12 +57,18 @@ def drop(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
-def write_once(path: str, data: bytes) -> None:
-    """Write so that a retried or speculative task leaves one whole file."""
+@contextmanager
+def whole_file(path: str):
+    """A file that appears under its name when it is whole: a retried or speculative task leaves one of its writers' files."""
     tmp = f"{path}.{uuid.uuid4().hex}"
-    with open(tmp, "wb") as out:
-        out.write(data)
-    os.replace(tmp, path)
+    try:
+        with open(tmp, "wb") as out:
+            yield out
+        os.replace(tmp, path)
+    except BaseException:
+        if os.path.exists(tmp):
+            os.remove(tmp)
+        raise
 
 
 def saved(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -102,3 +112,21 @@ def unused(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and says in ``weight`` how many rows of ``left`` have it.
+
+    The keys of more than one in ``CROWDED`` rows, so that many at most, are sent around: their rows don't meet in one task.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    crowd = right.where(F.col(weight) * CROWDED > total)
+    rest = left.join(F.broadcast(crowd.select(key)), key, "left_anti")
+    return left.join(F.broadcast(crowd), key).unionByName(rest.join(right, key))
+
+
+def give_back() -> None:
+    """In a worker that an encoder ran in before: its cache goes, for operators that need the memory themselves."""
+    used = sys.modules.get("lectern.llm.tokenization")
+    if used:
+        used._ENCODERS.clear()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, partitions, ready, saved, unused
+from .common import bucketed, give_back, partitions, ready, saved, spread_join, unused
 from .graph import components
 from .words import shingle_sets, slices
 
@@ -57,8 +57,6 @@ STAR = 2000
 NEAREST = (2, 8, None)
 #: A node stands for others that are as near as sets of this similarity are.
 CLOSE = 0.88
-#: Nodes whose set fills a group are told apart from the others, so that its rows don't meet in one task. At most this many.
-CROWDED = 1000
 #: Document ids up to this number (16 bytes each) are sent to all executors; more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 _BLOCK = 2_000_000
@@ -188,6 +186,7 @@ def fingerprint(docs: DataFrame, few: int, alike: bool = False) -> DataFrame:
     """Of each row the node and its number in the forest, signature, size, the set itself where it has ``few`` windows at most, and with ``alike`` the text's MD5; a null text has no node."""
 
     def apply(batches):
+        give_back()
         for batch in batches:
             ids, texts, sums = batch.columns
             for low, high in slices(texts, _BLOCK):
@@ -509,17 +508,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(apply, "node binary, shingles binary")
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
-    """``left`` joined with ``right``, which has one row a key and says in ``weight`` how many rows of ``left`` have it.
-
-    The keys of more than one in ``CROWDED`` rows, so that many at most, are sent around: their rows don't meet in one task.
-    """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    crowd = right.where(F.col(weight) * CROWDED > total)
-    rest = left.join(F.broadcast(crowd.select(key)), key, "left_anti")
-    return left.join(F.broadcast(crowd), key).unionByName(rest.join(right, key))
-
-
 def _fit(pairs: DataFrame, fine: DataFrame, on: str, similarity: float, recall: float) -> DataFrame:
     """``pairs`` (a, b of column ``on`` of ``fine``) as nodes, where sizes and whole signatures fit the similarity; other columns stay."""
     own = lambda e: fine.select(F.col(on).alias(e), *[F.col(c).alias(f"{c}_{e}") for c in {"node", "size", *_SIG} - {on}])
