@@ -5,7 +5,7 @@ lines, as a share of those in all lines with a word, decide whether a text is ke
 no model (``base`` rules) come from the same pass.
 
 The field is fitted on a bounded sample of labelled rows (``SAMPLE`` documents, those with the least
-hash of their id; every label and document is a candidate). Only documents carry labels, so lines of
+hash of their id; every label and document is a candidate; one text an id, of ``LINES`` lines at most). Only documents carry labels, so lines of
 documents of quality 0 are hidden: they start as boilerplate and are decoded again between fits, with
 at least one line of such a document held to be boilerplate.
 """
@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import give_back, ready
 
 SAMPLE = 3000
+#: Longer texts aren't fitted on; with SAMPLE this bounds what comes to the driver.
+LINES = 2000
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 N_FEATURES = 14
@@ -288,7 +290,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             rows = [(q, feats[a : a + k].astype("<f4").tobytes(), chars[a : a + k].astype("<i8").tobytes()) for q, a, k in zip(batch.column(2).to_pylist(), at.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["quality", "feats", "chars"])
 
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int"))
+    short = (F.length("text") - F.length(F.translate("text", "\n", ""))) < LINES
+    rows = docs.select("doc_id", "text").where("text is not null").where(short).join(F.broadcast(chosen), "doc_id")
+    # One text an id, that of least digest; rows of one id meet as partial minima.
+    rows = rows.groupBy("doc_id", F.col("quality").cast("int").alias("quality")).agg(F.min(F.struct(F.md5("text").alias("digest"), "text")).alias("x")).select("doc_id", F.col("x.text").alias("text"), "quality")
     got = sorted(rows.mapInArrow(describe, "quality int, feats binary, chars binary").collect())
     if not got:
         return fallback()
@@ -311,6 +316,7 @@ def judge(docs: DataFrame, model: Model, passed: list[str] | None = None) -> Dat
     names = [x.split()[0] for x in JUDGED.split(", ")]
 
     def apply(batches):
+        give_back()
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             at = 0
