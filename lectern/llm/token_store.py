@@ -12,7 +12,6 @@ the blocks of any document alone.
 from __future__ import annotations
 
 import atexit
-import io
 import os
 import struct
 import zlib
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, ready, scratch, text_or_empty, write_once
+from .common import drop, partitions, ready, scratch, text_or_empty, whole_file
 
 MAGIC = b"PLANES01"
 BLOCK = 1 << 16
@@ -51,11 +50,11 @@ def from_planes(planes: list[bytes | None], n: int, bits: bool) -> np.ndarray:
 
 
 class Writer:
-    """Takes documents in order; ``bytes()`` gives the finished file."""
+    """Takes documents in order and writes blocks to ``out`` as they fill up; ``finish()`` adds the index."""
 
-    def __init__(self, bits: bool = False, level: int = 1):
+    def __init__(self, out, bits: bool = False, level: int = 1):
         self.bits, self.packer = bits, zstandard.ZstdCompressor(level=level)
-        self.out = io.BytesIO()
+        self.out = out
         self.out.write(MAGIC)
         self.held, self.n_held = [], 0
         self.index: list[tuple] = []
@@ -81,7 +80,7 @@ class Writer:
             self.out.write(packed)
         self.index.append((len(data) // 4, sizes))
 
-    def bytes(self) -> bytes:
+    def finish(self) -> None:
         if self.n_held:
             self._block(b"".join(self.held))
         n_planes = 32 if self.bits else 4
@@ -91,7 +90,6 @@ class Writer:
         body += np.array([n for n, _ in self.index], "<u4").tobytes() + np.array([s for _, s in self.index], "<u4").tobytes()
         packed = zstandard.ZstdCompressor(level=3).compress(body)
         self.out.write(packed + struct.pack("<Q", len(packed)) + MAGIC)
-        return self.out.getvalue()
 
 
 class Reader:
@@ -163,16 +161,18 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, vocabulary:
     def write(batches):
         from lectern.llm.tokenization import encoder
 
-        enc, out = encoder(vocabulary, kind, added), Writer(bits, level)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                for d, e in zip(ids[at : at + 256].to_pylist(), enc.encode(texts[at : at + 256].to_pylist())):
-                    out.add(d, e + end)
+        enc = encoder(vocabulary, kind, added)
+        part = TaskContext.get().partitionId()
+        name = f"{folder}/part-{part:06d}.ids"
+        with whole_file(name) as file:
+            out = Writer(file, bits, level)
+            for batch in batches:
+                ids, texts = batch.column(0), batch.column(1)
+                for at in range(0, batch.num_rows, 256):
+                    for d, e in zip(ids[at : at + 256].to_pylist(), enc.encode(texts[at : at + 256].to_pylist())):
+                        out.add(d, e + end)
+            out.finish()
         if out.ids:
-            part = TaskContext.get().partitionId()
-            name = f"{folder}/part-{part:06d}.ids"
-            write_once(name, out.bytes())
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [len(out.ids)], "ids": [sum(out.counts)]}, pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     ordered = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
