@@ -19,6 +19,9 @@ from .common import text_or_empty
 
 CELLS = 1 << 16
 CELL_BITS = 16
+#: Rows of an arc that are ordered in one task.
+STRETCH = 1 << 20
+RUN = 1 << 12
 
 
 def ring_points(n_shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -107,8 +110,22 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 24, vn
         cell.alias("cell"),
         place.alias("place"),
     )
-    rank = F.row_number().over(Window.partitionBy("arc").orderBy("place", "doc_id", "text_crc32", "size")) - 1
-    placed = rows.join(cells, "cell").withColumn("rank", rank.cast("long")).join(plan, "arc")
+    # Rows alike in all are counted and take slots one after another, so a key that many rows have is one row here. An arc of more
+    # than ``STRETCH`` rows is ordered in stretches, each on its own; the stretches of an arc follow one another.
+    alike = rows.groupBy("doc_id", "size", "text_crc32", "cell", "place").agg(F.count("*").alias("n")).join(cells, "cell")
+    stretches = max(1, sum(counts.values()) // (len(points) * STRETCH))
+    alike = alike.withColumn("stretch", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(stretches)))
+    order = Window.partitionBy("arc", "stretch").orderBy("place", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = alike.withColumn("upto", F.sum("n").over(order))
+    if stretches > 1:
+        before = alike.groupBy("arc", "stretch").agg(F.sum("n").alias("in_stretch"))  # arcs x stretches rows
+        upto = Window.partitionBy("arc").orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = before.withColumn("before", F.sum("in_stretch").over(upto) - F.col("in_stretch"))
+        ranked = ranked.join(before.select("arc", "stretch", "before"), ["arc", "stretch"]).withColumn("upto", F.col("upto") + F.col("before"))
+    # Slots of rows alike come in runs, so that no array is as long as a key is often.
+    low = F.col("upto") - F.col("n")
+    runs = ranked.withColumn("from", F.explode(F.sequence(low, F.col("upto") - 1, F.lit(RUN).cast("long"))))
+    placed = runs.withColumn("rank", F.explode(F.sequence("from", F.least(F.col("from") + RUN, F.col("upto")) - 1))).join(plan, "arc")
     part = F.element_at(F.filter("parts", lambda p: F.col("rank") < p["upto"]), 1)
     return placed.withColumn("part", part).select(
         "doc_id",
