@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, ready, saved, scratch
+from .common import drop, partitions, ready, saved, scratch, spread_join
 
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 8192
@@ -166,18 +166,22 @@ def plan_records(pages: DataFrame, least: int) -> DataFrame:
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     light = pages.select("page_id", "url", F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
-    keepers = light.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"))
+    large = F.col("bytes") >= least
+    keepers = light.where(large).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("rows"))
     same = Window.partitionBy("page_id", "digest").orderBy("url")
     numbered = light.withColumn("copy", F.row_number().over(same) - 1)
-    revisit = (F.col("bytes") >= least) & F.col("keeper").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("keeper")) | (F.col("copy") > 0))
-    judged = numbered.join(keepers, "digest", "left").withColumn("revisit", F.coalesce(revisit, F.lit(False)))
-    revisits = judged.where("revisit").select("page_id", "url", "digest", "bytes", "copy", "revisit", F.col("keeper").alias("refers"), F.lit(None).cast("binary").alias("html"))
-    own = F.row_number().over(same) - 1
+    # Of a payload's rows the first of the keeper's is the response; the keeper is null where no numbered page has the payload.
+    judged = spread_join(numbered.where(large), saved(keepers), "digest", "rows")
+    revisits = judged.where(~F.col("page_id").eqNullSafe(F.col("keeper")) | (F.col("copy") > 0))
+    revisits = revisits.select("page_id", "url", "digest", "bytes", "copy", F.lit(True).alias("revisit"), F.col("keeper").alias("refers"), F.lit(None).cast("binary").alias("html"))
     full = pages.select("page_id", "url", F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("bytes"), html.alias("html"))
     # A payload goes to a page that holds it: one row a (digest, page), whatever the number of copies elsewhere.
-    kept = full.join(keepers.select("digest", F.col("keeper").alias("page_id")), ["digest", "page_id"], "left_semi").withColumn("copy", own).where("copy = 0")
-    small = full.where((F.col("bytes") < least) | F.col("page_id").isNull()).withColumn("copy", own)
-    small = small.join(keepers.where("keeper is not null"), "digest", "left_anti") if least > 0 else small.join(keepers.where("keeper is not null").select("digest"), "digest", "left_anti")
+    kept = full.join(keepers.where("keeper is not null").select("digest", F.col("keeper").alias("page_id")), ["digest", "page_id"], "left_semi").unionByName(
+        full.where(F.col("page_id").isNull() & large).join(keepers.where("keeper is null").select("digest"), "digest", "left_semi")
+    )
+    own = F.row_number().over(same) - 1
+    kept = kept.withColumn("copy", own).where("copy = 0")
+    small = full.where(~large).withColumn("copy", own)
     responses = kept.unionByName(small).select("page_id", "url", "digest", "bytes", "copy", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers"), "html")
     return revisits.unionByName(responses)
 
@@ -291,8 +295,8 @@ def archive_pages(spark: SparkSession, pages: DataFrame, least: int = 0, segment
     """Write a record per row of ``pages`` (page_id, url, html), read the archives back, one row a page.
 
     A null html is an empty payload. Rows alike in page and payload count as copies: the first (by url) can be the
-    response, the others revisit it. A null ``page_id`` revisits like any other row, and is a response only for
-    payloads that no numbered page has. An empty table gives an empty result; other columns are ignored.
+    response, the others revisit it. A null ``page_id`` revisits like any other row; of a payload that no numbered page has,
+    the first of its rows (by url) is the response, and the others refer to it (``refers_to`` is then null). An empty table gives an empty result; other columns are ignored.
     """
     ready(spark)
     folder = scratch(spark, "warc")
