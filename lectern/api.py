@@ -14,6 +14,7 @@ from .catalogue import select
 from .plans import rollup
 from .plans.facts import Facts
 from .sources.files import binary_files, facts_of
+from .sources.shared import co_located
 
 
 @dataclass
@@ -43,6 +44,10 @@ class Results:
     def totals(self) -> DataFrame:
         return rollup.batch_totals(self.results)
 
+    def close(self) -> None:
+        """Drop the tables that were written for this audit; its DataFrames can't be read any more."""
+        self.facts.close()
+
     def exit_code(self, fail_on: str = "error") -> int:
         return rollup.exit_code(self.results, fail_on)
 
@@ -56,22 +61,21 @@ def check(spark: SparkSession, paths=None, source=None, only=None, skip=None, la
     began = time.time()
     only, skip, layers = (set(x) if x else None for x in (only, skip, layers))
     rules = select(only, skip, layers)
-    if facts is None:
-        paths = [paths] if isinstance(paths, (str, os.PathLike)) else list(paths or [])
-        files = binary_files(spark, [str(p) for p in paths])
-        pairs = None
-        if source:
-            other = binary_files(spark, [str(source)])
-            source_id = other.select("doc_id").first()["doc_id"]
-            pairs = files.select("doc_id", F.lit(source_id).alias("source_id")).where("doc_id <> source_id")
-            files = files.unionByName(other).dropDuplicates(["doc_id"])
-        facts = facts_of(spark, files, store, pairs)
-        if source:
-            facts = _without_sources(facts)
-    findings, crashed, missing = rollup.collect_findings(facts, rules)
-    findings = findings.checkpoint() if spark.sparkContext.getCheckpointDir() else findings.persist()
-    runs = rollup.rule_runs(facts, findings, rules, crashed, missing)
-    runs = runs.checkpoint() if spark.sparkContext.getCheckpointDir() else runs.persist()
+    with co_located(spark):
+        if facts is None:
+            paths = [paths] if isinstance(paths, (str, os.PathLike)) else list(paths or [])
+            files = binary_files(spark, [str(p) for p in paths])
+            pairs = None
+            if source:
+                other = binary_files(spark, [str(source)])
+                source_id = other.select("doc_id").first()["doc_id"]
+                pairs = files.select("doc_id", F.lit(source_id).alias("source_id")).where("doc_id <> source_id")
+                files = files.where(F.col("doc_id") != source_id).unionByName(other)
+            facts = facts_of(spark, files, store, pairs)
+            if source:
+                facts = _without_sources(facts)
+        findings, crashed, missing = rollup.collect_findings(facts, rules)
+        runs = facts.shelf.put(rollup.rule_runs(facts, findings, rules, crashed, missing), "runs")
     return Results(facts, findings, runs, time.time() - began, crashed)
 
 

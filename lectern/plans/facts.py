@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import kernels as k
 from ..schema import BOX, TABLES
+from ..sources.shared import Shelf
 
 MAX_BOXES = 40
 
@@ -25,11 +28,12 @@ def box(page: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 class Facts:
-    """Fact tables by name, and what is derived from them."""
+    """Fact tables by name, and what is derived from them. What many rules share is written to ``shelf``, bucketed by document."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], shelf: Shelf | None = None):
         self.spark = spark
         self.given = set(tables)
+        self.shelf = shelf or Shelf(spark)
         for name, ddl in TABLES.items():
             df = tables.get(name)
             setattr(self, name, spark.createDataFrame([], ddl) if df is None else df)
@@ -37,19 +41,31 @@ class Facts:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Facts":
         """A store written by ``save``; tables that are missing are empty."""
-        import os
-
-        found = [n for n in TABLES if os.path.exists(f"{path.removeprefix('file://')}/{n}")]
-        return cls(spark, {n: spark.read.schema(TABLES[n]).parquet(f"{path}/{n}") for n in found})
+        tables = {}
+        for name, ddl in TABLES.items():
+            try:
+                tables[name] = spark.read.schema(ddl).parquet(f"{path}/{name}")
+            except AnalysisException:
+                continue
+        return cls(spark, tables)
 
     def save(self, path: str) -> None:
         for name in TABLES:
             if name in self.given:
                 getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        """Shared by many rules: kept through the checkpoint folder where one is set, else persisted."""
-        return df.checkpoint() if self.spark.sparkContext.getCheckpointDir() else df.persist()
+    def close(self) -> None:
+        """Drop the tables that were written for this audit."""
+        self.shelf.clear()
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return self.shelf.put(df, name)
+
+    def prepare(self) -> None:
+        """Write what rules share, each table once, before rules are built side by side."""
+        with ThreadPoolExecutor(3) as pool:
+            list(pool.map(lambda name: getattr(self, name), ("told", "lines", "features")))
+        self.cells  # noqa: B018 - needs told
 
     # -- documents and pages
 
@@ -66,18 +82,26 @@ class Facts:
     @cached_property
     def el(self) -> DataFrame:
         """Elements with heading level, 1-based place among logical siblings, and finding page."""
+        return self.told
+
+    @cached_property
+    def _placed(self) -> DataFrame:
         w = Window.partitionBy("doc_id", "logical_parent_ord").orderBy("ord")
         first_ref = self.mcrefs.where("page is not null").groupBy("doc_id", "ord").agg(F.min_by("page", "seq").alias("ref_page"))
-        below = k.subtree(self.elements.select("doc_id", "ord", "subtree_end"), self.elements.select("doc_id", "ord", "page")).where("ord > a_ord and page is not null")
+        below = self.elements.where("page is not null").select("doc_id", "ord", "page", F.explode("ancestors").alias("a_ord")).where("ord > a_ord")
         below = below.groupBy("doc_id", F.col("a_ord").alias("ord")).agg(F.min_by("page", "ord").alias("child_page"))
         e = self.elements.join(first_ref, ["doc_id", "ord"], "left").join(below, ["doc_id", "ord"], "left")
-        return self._keep(
+        return (
             e.withColumn("place", F.row_number().over(w))
             .withColumn("is_heading", F.col("type").rlike("^H([1-9][0-9]*)?$"))
             .withColumn("level", F.expr("try_cast(nullif(regexp_extract(type, '^H([1-9][0-9]*)$', 1), '') as int)"))
             .withColumn("find_page", F.coalesce("page", "ref_page", "child_page") + 1)
         )
 
+    def above(self, nodes: DataFrame) -> DataFrame:
+        """``nodes`` (doc_id, ord of an element, ...), a row for each element that holds it, itself included (a_ord): an equi-join, at most 61 rows a node."""
+        return nodes.join(self.elements.select("doc_id", "ord", "ancestors"), ["doc_id", "ord"]).withColumn("a_ord", F.explode("ancestors")).drop("ancestors")
+
     @cached_property
     def mcid_text(self) -> DataFrame:
         """Text of each marked-content sequence, runs in order, one space between unless one is there."""
@@ -98,47 +122,40 @@ class Facts:
             .join(p, (F.col("m.doc_id") == F.col("p.doc_id")) & (F.col("m.page") == F.col("p.page")) & (F.col("m.mcid") == F.col("p.mcid")), "left")
             .join(b, (F.col("m.doc_id") == F.col("b.doc_id")) & (F.col("m.page") == F.col("b.page")) & (F.col("m.mcid") == F.col("b.mcid")) & F.col("m.stream").eqNullSafe(F.col("b.stream")), "left")
         )
-        return self._keep(joined.select("m.*", F.coalesce("t.text", F.when(F.col("m.stream").isNotNull(), F.col("p.page_text"))).alias("text"), "b.x0", "b.y0", "b.x1", "b.y1"))
+        return joined.select("m.*", F.coalesce("t.text", F.when(F.col("m.stream").isNotNull(), F.col("p.page_text"))).alias("text"), "b.x0", "b.y0", "b.x1", "b.y1")
 
     @cached_property
-    def texts(self) -> DataFrame:
-        """doc_id, ord, text (own and below, in tree order), own_text, extent over all pages, has_content, box."""
-        spans = self.elements.select("doc_id", "ord", "subtree_end")
-        below = k.subtree(spans, self.refs)
+    def told(self) -> DataFrame:
+        """Elements with text (own and below, in tree order), own_text, extent over all pages, has_content, box."""
         full = F.col("text").isNotNull() & (F.col("text") != "")
         packed = F.sort_array(F.collect_list(F.when(full, F.struct("ord", "seq", "text"))))
         own = F.sort_array(F.collect_list(F.when(full & (F.col("ord") == F.col("a_ord")), F.struct("ord", "seq", "text"))))
         joined = lambda c: F.concat_ws(" ", F.transform(c, lambda x: x["text"]))
-        got = below.groupBy("doc_id", F.col("a_ord").alias("ord")).agg(
+        got = self.above(self.refs).groupBy("doc_id", F.col("a_ord").alias("ord")).agg(
             joined(packed).alias("text"),
             joined(own).alias("own_text"),
             *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))],
             F.min_by("page", F.when(F.col("page").isNotNull(), F.struct("ord", "seq"))).alias("box_page"),
         )
-        bearing = self.elements.where("coalesce(alt, '') <> '' or coalesce(actual_text, '') <> ''").select("doc_id", "ord").unionByName(self.mcrefs.select("doc_id", "ord")).unionByName(self.objrefs.select("doc_id", "ord")).distinct()
-        bears = k.subtree(spans, bearing).select("doc_id", F.col("a_ord").alias("ord")).distinct().withColumn("has_content", F.lit(True))
-        e = self.el.select("doc_id", "ord", "layout_bbox", "find_page")
-        all_ = e.join(got, ["doc_id", "ord"], "left").join(bears, ["doc_id", "ord"], "left")
+        bearing = self.elements.where("coalesce(alt, '') <> '' or coalesce(actual_text, '') <> ''").select("doc_id", "ord").unionByName(self.mcrefs.select("doc_id", "ord")).unionByName(self.objrefs.select("doc_id", "ord"))
+        bears = self.above(bearing).select("doc_id", F.col("a_ord").alias("ord")).distinct().withColumn("has_content", F.lit(True))
+        e = self._placed.join(got, ["doc_id", "ord"], "left").join(bears, ["doc_id", "ord"], "left")
         lb, ok = F.col("layout_bbox"), (F.size("layout_bbox") == 4) & F.col("find_page").isNotNull()
         at = lambda i: F.get(lb, F.lit(i))
         laid = box(F.col("find_page") - 1, at(0), at(1), at(2), at(3))
         return self._keep(
-            all_.select(
-                "doc_id", "ord", tx.nfkc(F.coalesce("text", F.lit(""))).alias("norm_text"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("own_text", F.lit("")).alias("own_text"),
-                "x0", "y0", "x1", "y1", F.coalesce("has_content", F.lit(False)).alias("has_content"), F.when(ok, laid).otherwise(box(F.col("box_page"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("box"),
-            )
+            e.withColumns({
+                "norm_text": tx.nfkc(F.coalesce("text", F.lit(""))), "text": F.coalesce("text", F.lit("")), "own_text": F.coalesce("own_text", F.lit("")), "has_content": F.coalesce("has_content", F.lit(False)),
+                "box": F.when(ok, laid).otherwise(box(F.col("box_page"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))),
+            }).drop("box_page", "ancestors"),
+            "told",
         )
 
-    @cached_property
-    def told(self) -> DataFrame:
-        """Elements with their texts."""
-        return self.el.join(self.texts, ["doc_id", "ord"])
-
     @cached_property
     def parents(self) -> DataFrame:
         """doc_id, ord and the logical parent's type."""
         p = self.elements.select("doc_id", F.col("ord").alias("logical_parent_ord"), F.col("type").alias("parent_type"))
-        return self.el.join(p, ["doc_id", "logical_parent_ord"], "left")
+        return self.elements.select("doc_id", "ord", "logical_parent_ord").join(p, ["doc_id", "logical_parent_ord"], "left")
 
     # -- page content
 
@@ -158,7 +175,8 @@ class Facts:
                 F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("x0", "run_seq", "piece"))), lambda x: x["piece"])).alias("text"),
                 F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
                 share(F.col("artifact")).alias("artifact_share"), share(F.col("mcid").isNotNull() & ~F.col("artifact")).alias("tagged_share"),
-            )
+            ),
+            "lines",
         )
 
     @cached_property
@@ -171,8 +189,8 @@ class Facts:
     @cached_property
     def figures_described(self) -> DataFrame:
         """(doc_id, page, stream, mcid) of content inside a Figure whose alternative has three words or more."""
-        fig = self.elements.where("type = 'Figure'").where(F.size(F.split(tx.collapse(F.col("alt")), " ")) >= 3).select("doc_id", "ord", "subtree_end")
-        return k.subtree(fig, self.mcrefs).select("doc_id", "page", "stream", "mcid").distinct()
+        fig = self.elements.where("type = 'Figure'").where(F.size(F.split(tx.collapse(F.col("alt")), " ")) >= 3).select("doc_id", F.col("ord").alias("a_ord"))
+        return self.above(self.mcrefs).join(fig, ["doc_id", "a_ord"], "left_semi").select("doc_id", "page", "stream", "mcid").distinct()
 
     @cached_property
     def scans(self) -> DataFrame:
@@ -190,25 +208,14 @@ class Facts:
 
     @cached_property
     def cells(self) -> DataFrame:
-        """Cells of each table: table_ord, row_ord, ord, kind, text, spans, scope, headers, id. Rows are under the table itself or under row groups."""
-        e = self.told
-        groups = e.where("type in ('THead', 'TBody', 'TFoot')").select("doc_id", F.col("ord").alias("g"), F.col("logical_parent_ord").alias("up"))
-        rows = e.where("type = 'TR'").select("doc_id", F.col("ord").alias("row_ord"), F.col("logical_parent_ord").alias("up"))
-        tables = e.where("type = 'Table'").select("doc_id", F.col("ord").alias("table_ord"))
-        # A row group may stand in another one: walk up at most a few levels, each a join.
-        placed = None
-        for _ in range(4):
-            here = rows.join(tables.withColumnRenamed("table_ord", "up"), ["doc_id", "up"]).select("doc_id", F.col("up").alias("table_ord"), "row_ord")
-            placed = here if placed is None else placed.unionByName(here)
-            rows = rows.join(groups.select("doc_id", F.col("g").alias("up"), F.col("up").alias("next")), ["doc_id", "up"]).select("doc_id", "row_ord", F.col("next").alias("up"))
-        cells = e.where("type in ('TH', 'TD')").select("doc_id", F.col("logical_parent_ord").alias("row_ord"), "ord", F.col("type").alias("kind"), tx.collapse(F.col("text")).alias("text"), F.coalesce("colspan", F.lit(1)).alias("colspan"), F.coalesce("rowspan", F.lit(1)).alias("rowspan"), "scope", F.coalesce("headers", F.array().cast("array<string>")).alias("headers"), "id", "box")
-        self.table_rows = self._keep(placed)
-        return self._keep(self.table_rows.join(cells, ["doc_id", "row_ord"]))
+        """Cells of each table: table_ord, row_ord, ord, kind, text, spans, scope, headers, id."""
+        cells = self.told.where("type in ('TH', 'TD')").select("doc_id", F.col("logical_parent_ord").alias("row_ord"), "ord", F.col("type").alias("kind"), tx.collapse(F.col("text")).alias("text"), F.coalesce("colspan", F.lit(1)).alias("colspan"), F.coalesce("rowspan", F.lit(1)).alias("rowspan"), "scope", F.coalesce("headers", F.array().cast("array<string>")).alias("headers"), "id", "box")
+        return self._keep(self.rows.join(cells, ["doc_id", "row_ord"]), "cells")
 
     @cached_property
     def rows(self) -> DataFrame:
-        self.cells  # noqa: B018
-        return self.table_rows
+        """Rows of each table, under the table itself or under row groups at any depth (the reader has walked up)."""
+        return self.elements.where("type = 'TR' and table_ord is not null").select("doc_id", "table_ord", F.col("ord").alias("row_ord"))
 
     # -- owners of annotations
 
@@ -239,4 +246,4 @@ class Facts:
             "xobjects": "xobjects", "scanned": "scanned", "lang": "trim(coalesce(lang, '')) <> ''", "title": "trim(coalesce(xmp_title, info_title, '')) <> '' or trim(coalesce(info_title, '')) <> ''", "pages3": "n_pages >= 3",
         }
         entries = [x for n, e_ in flags.items() for x in (F.lit(n), c(e_))]
-        return self._keep(d.where("error is null").select("doc_id", F.create_map(*entries).alias("features")))
+        return self._keep(d.where("error is null").select("doc_id", F.create_map(*entries).alias("features")), "features")

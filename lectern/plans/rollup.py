@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from .facts import Facts
 
 #: Rules that need a table from another tool; without it they are skipped.
 NEEDS = {"TAG-003": ("witness_words", "needs words of another extractor"), "SEM-003": ("rasters", "needs page images")}
+#: Jobs that run side by side.
+LANES = 8
 STATUSES = "fail warning pass not-applicable manual not-tested".split()
 _RUN = "rule string, crash string"
 
@@ -29,27 +34,40 @@ def _features_of_corpus(facts: Facts) -> set[str]:
 
 
 def collect_findings(facts: Facts, rules: list[Rule]) -> tuple[DataFrame, dict[str, str], set[str]]:
-    """Findings of all rules that some document needs, those that crashed while being built, those that lack a table."""
-    have, parts, crashed, missing = _features_of_corpus(facts), [], {}, set()
+    """Findings of all rules that some document needs, those that crashed while being built, those that lack a table.
+
+    Rules are built and run in ``LANES`` jobs side by side: planning a rule takes the driver longer than small batches take the
+    executors, and on large ones the jobs share the cluster.
+    """
+    have, wanted, missing = _features_of_corpus(facts), [], set()
     for r in rules:
-        build = builders().get(r.id)
-        if r.status == "planned" or build is None:
+        if r.status == "planned" or builders().get(r.id) is None:
             continue
         if r.id in NEEDS and NEEDS[r.id][0] not in facts.given:
             missing.add(r.id)
-            continue
-        if r.requires and not any(f in have or f not in FEATURES for f in r.requires.split("|")):
-            continue
-        try:
-            parts.append(build(facts).withColumn("rule", F.lit(r.id)).withColumn("severity", F.coalesce("severity", F.lit(r.severity))).select(*FINDING_COLUMNS))
-        except Exception as e:  # noqa: BLE001 - one broken rule must not hide the others
-            crashed[r.id] = f"{type(e).__name__}: {e}"[:200]
-    found = facts.spark.createDataFrame([], FINDING)
-    for p in parts:
-        found = found.unionByName(p)
-    # A rule speaks only about documents that it applies to.
-    wanted = F.broadcast(rules_df(facts.spark, rules).select("rule", "requires"))  # 91 rows at most
-    return found.join(wanted, "rule").join(facts.features, "doc_id").where(applicable(F.col("requires"), F.col("features"))).select(*FINDING_COLUMNS), crashed, missing
+        elif not r.requires or any(f in have or f not in FEATURES for f in r.requires.split("|")):
+            wanted.append(r)
+    crashed: dict[str, str] = {}
+
+    def run(lane: int) -> DataFrame | None:
+        parts = []
+        for r in wanted[lane::LANES]:
+            try:
+                own = {"rule": F.lit(r.id), "severity": F.coalesce("severity", F.lit(r.severity)), "requires": F.lit(r.requires).cast("string")}
+                parts.append(builders()[r.id](facts).withColumns(own).select(*FINDING_COLUMNS, "requires"))
+            except Exception as e:  # noqa: BLE001 - one broken rule must not hide the others
+                crashed[r.id] = f"{type(e).__name__}: {e}"[:200]
+        if not parts:
+            return None
+        # A rule speaks only about documents that it applies to.
+        found = reduce(DataFrame.unionByName, parts).join(facts.features, "doc_id").where(applicable(F.col("requires"), F.col("features")))
+        return facts.shelf.put(found.select(*FINDING_COLUMNS), f"findings_{lane}")
+
+    builders()
+    facts.prepare()
+    with ThreadPoolExecutor(LANES) as pool:
+        found = [df for df in pool.map(run, range(LANES)) if df is not None]
+    return reduce(DataFrame.unionByName, found) if found else facts.spark.createDataFrame([], FINDING), crashed, missing
 
 
 def rule_runs(facts: Facts, findings: DataFrame, rules: list[Rule], crashed: dict[str, str], missing: set[str]) -> DataFrame:

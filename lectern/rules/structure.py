@@ -161,7 +161,7 @@ def loose_references(t):
     marks = _labels(t).select("doc_id", _mark(F.col("label")).alias("key")).unionByName(notes(t).select("doc_id", _mark(F.regexp_extract(tx.collapse(F.col("text")), patterns.LABEL, 1)).alias("key"))).where("key <> ''").distinct()
     refs = t.told.where("type = 'Reference'")
     leading = t.elements.where("type = 'Link'").select("doc_id", "ord").unionByName(t.objrefs.select("doc_id", "ord"))
-    linked = k.subtree(refs.select("doc_id", "ord", "subtree_end"), leading).select("doc_id", F.col("a_ord").alias("ord"))
+    linked = t.above(leading).select("doc_id", F.col("a_ord").alias("ord"))
     bad = refs.join(linked, ["doc_id", "ord"], "left_anti").withColumn("key", _mark(F.col("text"))).join(marks, ["doc_id", "key"], "left_anti").where(tx.blank(F.col("text")) | F.col("text").rlike(patterns.MARKER))
     return all_of(bad, lambda n: say(n.cast("string"), " reference(s) lead to no note or link"), F.nullif(tx.sample(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), 4, 12), F.lit("")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: ``ancestors`` of an element: the elements it is in, from the root on, itself last. ``table_ord`` of a row: its table, through row groups at any depth.
 KEY = "struct<num:int,gen:int>"
 BOX = "struct<page:int,x0:double,y0:double,x1:double,y1:double>"
 
@@ -12,7 +13,7 @@ TABLES: dict[str, str] = {
     "embedded_files array<struct<f:string,uf:string,desc:string>>",
     "pages": "doc_id bigint, page int, width double, height double, rotate int, tabs string, has_image_xobject boolean, has_form_xobject boolean, parse_error string",
     "elements": "doc_id bigint, ord int, subtree_end int, parent_ord int, logical_parent_ord int, depth int, type_raw string, type string, is_standard boolean, circular boolean, page int, alt string, "
-    "actual_text string, lang string, id string, path string, has_p boolean, pg_dangling boolean, has_af boolean, scope string, headers array<string>, colspan int, rowspan int, layout_bbox array<double>",
+    "actual_text string, lang string, id string, path string, has_p boolean, pg_dangling boolean, has_af boolean, scope string, headers array<string>, colspan int, rowspan int, layout_bbox array<double>, ancestors array<int>, table_ord int",
     "mcrefs": f"doc_id bigint, ord int, seq int, page int, stream {KEY}, mcid int",
     "objrefs": f"doc_id bigint, ord int, seq int, target {KEY}",
     "annotations": f"doc_id bigint, seq int, page int, key {KEY}, subtype string, contents string, flags int, x0 double, y0 double, x1 double, y1 double, field_tu string, field_t string, field_ft string, hidden boolean",

@@ -25,11 +25,16 @@ TREE_NODES = 6000
 SCHEMAS = "https://json.schemastore.org"
 
 
-def _documents(r):
-    """(result, findings, runs, criteria) of each document, by path."""
-    for d in r.results.orderBy("path").toLocalIterator():
-        mine = F.col("doc_id") == d["doc_id"]
-        yield d, [x.asDict(True) for x in r.ordered.where(mine).collect()], [x.asDict() for x in r.runs.where(mine).orderBy("pos").collect()], [x.asDict() for x in r.criteria.where(mine).orderBy("framework", "cpos").collect()]
+def _documents(r, doc_id: int | None = None):
+    """(result, findings, runs, criteria) of each document, by path: one job for all, one document at a time on the driver."""
+    rows = r.results if doc_id is None else r.results.where(F.col("doc_id") == doc_id)
+    for df, name in ((r.findings, "own_findings"), (r.runs, "own_runs"), (r.criteria, "own_criteria")):
+        rows = rows.join(df.groupBy("doc_id").agg(F.collect_list(F.struct(*df.columns)).alias(name)), "doc_id", "left")
+    severities = list(LEVEL)
+    for d in rows.orderBy("path").toLocalIterator():
+        found, runs, criteria = ([x.asDict(True) for x in d[name] or []] for name in ("own_findings", "own_runs", "own_criteria"))
+        found.sort(key=lambda f: (severities.index(f["severity"]), f["page"] or 0, f["rule"], f["message"]))
+        yield d, found, sorted(runs, key=lambda x: x["pos"]), sorted(criteria, key=lambda x: (x["framework"], x["cpos"]))
 
 
 def one_line(d) -> str:
@@ -165,7 +170,7 @@ def structure_tree(facts, doc_id: int) -> list[dict]:
 
 def viewer_payload(r, doc_id: int) -> dict:
     """Everything a viewer of one document shows."""
-    d, found, runs, rows = next(x for x in _documents(r) if x[0]["doc_id"] == doc_id)
+    d, found, runs, rows = next(_documents(r, doc_id))
     pages = [x.asDict() for x in r.facts.pages.where(F.col("doc_id") == doc_id).orderBy("page").collect()]
     order = [x.asDict() for x in reading_order(r.facts).where(F.col("doc_id") == doc_id).orderBy("page", "ord").collect()]
     for f in found:

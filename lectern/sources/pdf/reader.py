@@ -12,6 +12,7 @@ from .objects import File, Name, PdfError, Ref, Stream, text
 
 STANDARD = frozenset(STANDARD_TYPES)
 DEPTH = 60
+ROW_GROUPS = ("THead", "TBody", "TFoot")
 _RDF = "{http://www.w3.org/1999/" + "02/22-rdf-syntax-ns#}"
 _DC = "{http://purl.org/dc/" + "elements/1.1/}"
 _UA = "{http://www.aiim.org/" + "pdfua/ns/id/}"
@@ -199,7 +200,7 @@ class Document:
                 logical = elements[logical]["parent"]
             e = {
                 "ord": len(elements), "parent": parent, "logical": logical, "depth": depth, "raw": raw, "type": kind, "circular": circular, "page": page, "node": node, "dangling": dangling,
-                "path": f"{up['path']}/{raw}" if up else raw, "refs": [], "objs": [],
+                "path": f"{up['path']}/{raw}" if up else raw, "refs": [], "objs": [], "ancestors": [*(up["ancestors"] if up else []), len(elements)],
             }
             elements.append(e)
             me = e["ord"]
@@ -227,11 +228,14 @@ class Document:
             table, layout = a.get("Table", {}), a.get("Layout", {})
             bbox = layout.get("BBox")
             bbox = [float(x) for x in bbox] if isinstance(bbox, list) and len(bbox) == 4 and all(isinstance(x, (int, float)) for x in bbox) else None
-            heads = table.get("Headers")
+            heads, of = table.get("Headers"), e["logical"] if e["type"] == "TR" else None
+            while of is not None and elements[of]["type"] in ROW_GROUPS:
+                of = elements[of]["logical"]
+            of = of if of is not None and elements[of]["type"] == "Table" else None
             opt = lambda k: text(f.get(n.get(k)))  # noqa: B023, E731
             self.add(
                 "elements", e["ord"], e["end"], e["parent"], e["logical"], e["depth"], e["raw"], e["type"], e["type"] in STANDARD, e["circular"], e["page"], opt("Alt"), opt("ActualText"), opt("Lang"), opt("ID"), e["path"],
-                n.get("P") is not None, e["dangling"], n.get("AF") is not None, table.get("Scope") if isinstance(table.get("Scope"), str) else None, [str(h) for h in heads] if isinstance(heads, list) else [], _span(table.get("ColSpan")), _span(table.get("RowSpan")), bbox,
+                n.get("P") is not None, e["dangling"], n.get("AF") is not None, table.get("Scope") if isinstance(table.get("Scope"), str) else None, [str(h) for h in heads] if isinstance(heads, list) else [], _span(table.get("ColSpan")), _span(table.get("RowSpan")), bbox, e["ancestors"], of,
             )
             for s, (page, stream, mcid) in enumerate(e["refs"]):
                 self.add("mcrefs", e["ord"], s, page, stream, mcid)

@@ -135,12 +135,23 @@ SILENT = {
 }
 
 
+def nested(rows, depth):
+    """A table whose rows lie in row groups, each in another one."""
+    for k in range(depth):
+        rows = [E(("TBody", "THead", "TFoot")[k % 3], rows)]
+    return make([p(), E("Table", rows)])
+
+
+ROWS = [E("TR", [E("TD", [T("one")]), E("TD", [T("two")])]), E("TR", [E("TD", [T("three")]), E("TD", [T("four")])])]
+DEEP = {f"deep {k}": nested(ROWS, k) for k in (0, 1, 4, 6, 20)}
+
+
 @pytest.fixture(scope="module")
 def audit(spark, tmp_path_factory):
     from lectern.api import check
 
     d = tmp_path_factory.mktemp("pdf")
-    for name, data in {"clean": make(clean()), "untitled": make([p()], lang="x"), **CASES}.items():
+    for name, data in {"clean": make(clean()), "untitled": make([p()], lang="x"), **DEEP, **CASES}.items():
         (d / f"{name}.pdf").write_bytes(data)
     for name, data in SILENT.items():
         (d / f"not {name}.PDF").write_bytes(data)
@@ -171,6 +182,12 @@ def test_defect_is_found(audit, rule):
     assert rule in {f["rule"] for f in audit["found"].get(rule, [])}, [(f["rule"], f["message"]) for f in audit["found"].get(rule, [])]
 
 
+def test_rows_below_nested_groups_are_seen(audit):
+    """TBL-001 sees the two rows and four cells at any depth of row groups."""
+    for name in DEEP:
+        assert [f["message"] for f in audit["found"][name] if f["rule"] == "TBL-001"] == ["a table of 2 row(s) and 4 cells has no header cell"], name
+
+
 @pytest.mark.parametrize("rule", sorted(SILENT))
 def test_sound_file_is_left_alone(audit, rule):
     assert rule not in {f["rule"] for f in audit["found"].get(f"not {rule}", [])}
@@ -228,6 +245,29 @@ def test_reports(audit, spark, tmp_path):
     assert "TBL-001" in sinks.rules_document() and sinks.rule_list().count("\n") == 91
 
 
+def test_no_file_is_read_twice(spark, tmp_path):
+    from lectern.sources.files import binary_files
+
+    (tmp_path / "in").mkdir()
+    for name in ("a.pdf", "in/b.PDF", "in/c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    d = str(tmp_path)
+    df = binary_files(spark, [d, f"{d}/a.pdf", f"{d}/in", f"{d}/in/", d, f"{d}/in/c.txt", f"{d}/gone.pdf", f"{d}/gone.pdf"])
+    assert sorted((r["path"][len(d) + 1 :], r["content"] is None) for r in df.collect()) == [("a.pdf", False), ("gone.pdf", True), ("in/b.PDF", False), ("in/c.txt", False)]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert binary_files(spark, []).count() == 0
+
+
+def test_shared_tables_lie_by_document(audit):
+    """Joins by document and element don't shuffle, and closing drops the tables."""
+    from lectern.sources.shared import co_located
+
+    f = audit["r"].facts
+    with co_located(f.spark):
+        plan = f.told.join(f.parents, ["doc_id", "ord"]).groupBy("doc_id", "type").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_selection_and_source(spark, tmp_path):
     from lectern.api import check
 
@@ -236,5 +276,7 @@ def test_selection_and_source(spark, tmp_path):
     r = check(spark, [str(tmp_path / "a.pdf")], source=str(tmp_path / "b.pdf"), only=["SEM-001", "SEM-002", "DOC-001"])
     assert {f["rule"] for f in r.findings.collect()} == {"SEM-001", "SEM-002"}
     assert r.runs.count() == 3 and r.results.count() == 1
+    r.close()
+    assert not r.facts.shelf.tables
     with pytest.raises(KeyError):
         check(spark, [], only=["XXX-001"])
