@@ -352,3 +352,45 @@ def actualtext_ratio(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     return c.withColumn("before", before).where("before is not null").select("conv_id", "turn", tx.similarity(tx.letters(F.col("text")), tx.letters(F.col("before"))).alias("ratio"))
+
+
+def _expected() -> str:
+    """What the statements' defects lead to, as SQL: (supplier, rule, severity, findings)."""
+    from .catalogue import BY_ID
+    from .sources.pdf.statements import DEFECTS
+
+    values = ", ".join(f"('{r}', '{BY_ID[r].severity}', {m}, {rest}, {n})" for r, (m, rest, n) in DEFECTS.items())
+    return f"select s_suppkey::bigint supplier, rule, severity, n::bigint findings from supplier join (values {values}) d(rule, severity, m, rest, n) on s_suppkey % m = rest"
+
+
+def _statement_audit(spark: SparkSession, sf_dir: str):
+    """The whole audit over a PDF file for each supplier: written, read back by the reader, shredded and held against every rule."""
+    from .api import check
+    from .sources.files import facts_of
+    from .sources.pdf.statements import statements
+
+    files = statements(_table(spark, sf_dir, "supplier").where("s_suppkey is not null"), F.col("s_suppkey"), F.col("s_name"), "supplier")
+    return check(spark, facts=facts_of(spark, files))
+
+
+def _supplier() -> Column:
+    return F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("bigint").alias("supplier")
+
+
+@query(_expected())
+def pdf_findings(spark, sf_dir):
+    """Findings of all 89 rules on PDF files."""
+    r = _statement_audit(spark, sf_dir)
+    found = r.findings.join(r.results.select("doc_id", "path"), "doc_id")
+    return found.groupBy(_supplier(), "rule", "severity").agg(F.sum("count").cast("bigint").alias("findings"))
+
+
+@query(f"""with f as ({_expected()}),
+  g as (select supplier, sum(case when severity = 'error' then findings else 0 end) errors, sum(case when severity = 'warning' then findings else 0 end) warnings from f group by 1)
+  select s_suppkey::bigint supplier, coalesce(errors, 0)::bigint errors, coalesce(warnings, 0)::bigint warnings,
+         case when coalesce(errors, 0) > 0 then 'fail' when coalesce(warnings, 0) > 0 then 'review' else 'pass' end verdict
+  from supplier left join g on supplier = s_suppkey""")
+def pdf_verdicts(spark, sf_dir):
+    """The verdict on each PDF file."""
+    r = _statement_audit(spark, sf_dir).results
+    return r.select(_supplier(), F.col("errors").cast("bigint").alias("errors"), F.col("warnings").cast("bigint").alias("warnings"), "verdict")
