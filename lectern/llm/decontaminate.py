@@ -4,12 +4,13 @@ Items are indexed by their words. A posting's BM25 impact is stored as a share o
 (what a passage with all its words would get), so one threshold serves all items. Passages are windows
 of twice the longest item's words, half overlapping: an item copied into a text lies whole in one.
 
-For a passage, an item can reach the threshold only if words beyond its pivot do: an item's most common
-words, as many as stay under half the threshold together, can't lift it there alone, and the rest of
-its words must add up to the difference. So only lists of words beyond the pivot are opened. Their blocks
-of items come first, with the largest share of any item in the block; blocks whose bounds don't reach are
-skipped, and only items of the others are added up. What is left is scored in full, and kept if the
-passage also holds the question's word windows and the answer's words.
+For a passage, an item can reach the threshold only with words beyond its pivot word: an item's most common
+words, as many as stay under half the threshold together, can't lift it there alone. So lists hold items by their words
+beyond it, in order of items, with the largest share of each list and of each block of items in it. A passage has a cursor
+on each of its words' lists. Ordered by the items they stand at, the cursors whose lists together may reach the threshold name the next
+item that can; if the maxima of its block don't reach it, the cursors skip to the block's end or the next cursor's item, else
+they move up to the item, and once all stand there it is added up. All passages of a batch take each step together, as arrays.
+What is left is scored in full, and kept if the passage also holds the question's word windows and the answer's words.
 """
 
 from __future__ import annotations
@@ -89,23 +90,63 @@ class Index:
             asked = w[: len(w) - len(answer)] or w
             width = min(5, len(asked))
             self.items.append(Item(item_id, set(zip(*(asked[k:] for k in range(width)))), width, set(answer), {self.terms[x]: g / own for x, g in gain.items()}))
-        # Postings: per term its blocks (number, largest share), per block its items.
-        n_terms = len(self.terms)
-        blocks: list[tuple[int, int, float, list]] = []
-        for term in sorted(essential):
-            by_block: dict[int, list] = defaultdict(list)
-            for at, share in essential[term]:
-                by_block[at // BLOCK_ITEMS].append((at, share))
-            blocks += [(term, b, max(s for _, s in found), found) for b, found in sorted(by_block.items())]
-        self.term_begin = np.searchsorted(np.array([b[0] for b in blocks], np.int64), np.arange(n_terms + 1))
-        self.block_of = np.array([b[1] for b in blocks], np.int64)
-        self.block_max = np.array([b[2] for b in blocks])
-        self.item_begin = np.cumsum([0] + [len(b[3]) for b in blocks])
-        self.posted = np.array([at for b in blocks for at, _ in b[3]], np.int64)
-        self.share = np.array([s for b in blocks for _, s in b[3]])
+        # Postings by term and item, and the largest share of each term and of each of its blocks.
+        posts = [(term, at, share) for term in sorted(essential) for at, share in essential[term]]
+        post_term = np.array([x[0] for x in posts], np.int64)
+        self.posted, self.share = np.array([x[1] for x in posts], np.int64), np.array([x[2] for x in posts])
+        self.post_key = post_term * (n + 1) + self.posted
+        self.post_begin = np.searchsorted(post_term, np.arange(len(self.terms) + 1))
+        self.term_max = np.zeros(len(self.terms))
+        np.maximum.at(self.term_max, post_term, self.share)
         self.n_blocks = -(-n // BLOCK_ITEMS) if n else 0
+        self.block_key, own = np.unique(post_term * self.n_blocks + self.posted // BLOCK_ITEMS, return_inverse=True)
+        self.block_max = np.zeros(len(self.block_key))
+        np.maximum.at(self.block_max, own, self.share)
         self.block_pivot = np.array([self.pivot[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS].max() for b in range(self.n_blocks)])
 
+    def retrieve(self, window: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of what may reach the threshold; windows with their terms, sorted by window."""
+        out_w, out_i, n_items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], len(self.items)
+        enough = self.threshold - 1e-9
+        least = enough - self.pivot.max()  # what the lists must add to some item
+        at, end, top = self.post_begin[term], self.post_begin[term + 1], self.term_max[term]
+        while len(window):
+            first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+            n = np.diff(np.append(first, len(window)))
+            able = np.add.reduceat(top, first) >= least
+            if not able.all():
+                keep = np.repeat(able, n)
+                window, term, at, end, top = (x[keep] for x in (window, term, at, end, top))
+                continue
+            item = self.posted[at]
+            order = np.lexsort((item, window))
+            term, at, end, top, item = (x[order] for x in (term, at, end, top, item))
+            group = np.repeat(np.arange(len(first)), n)
+            run = np.cumsum(top)
+            reached = run - (run[first] - top[first])[group] >= least - 1e-9
+            reached[first + n - 1] = True
+            goal = item[np.minimum.reduceat(np.where(reached, np.arange(len(item)), len(item)), first)]  # a window's next item that can reach
+            to = goal[group]
+            within = item <= to
+            key = term * self.n_blocks + to // BLOCK_ITEMS
+            spot = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+            most = np.where(within & (self.block_key[spot] == key), self.block_max[spot], 0.0)
+            good = np.bincount(group, weights=most) + self.block_pivot[goal // BLOCK_ITEMS] >= enough
+            there = good & (item[first] == goal)
+            here = item == to
+            score = np.bincount(group, weights=np.where(here, self.share[at], 0.0)) + self.pivot[goal]
+            hit = there & (score >= enough)
+            out_w.append(window[first[hit]])
+            out_i.append(goal[hit])
+            beyond = np.minimum.reduceat(np.where(within, n_items, item), first)
+            skip = np.minimum((goal // BLOCK_ITEMS + 1) * BLOCK_ITEMS, beyond)
+            target = np.where(~good[group] & within, skip[group], np.where(there[group] & here, to + 1, np.where(good[group] & within, to, item)))
+            moved = np.flatnonzero(target > item)
+            at[moved] = np.searchsorted(self.post_key, term[moved] * (n_items + 1) + target[moved])
+            left = at < end
+            window, term, at, end, top = (x[left] for x in (window, term, at, end, top))
+        return np.concatenate(out_w), np.concatenate(out_i)
+
     def search(self, texts: list[str]) -> list[tuple[int, Item, float, float, float]]:
         """(text, item, share of the item's own score, question overlap, answer overlap) of what passes, once a text and item."""
         if not self.items:
@@ -121,8 +162,7 @@ class Index:
         # Windows are numbered through all texts; window j of a text has the words of steps j and j + 1.
         steps = np.maximum(-(-sizes // step), 1)
         first_window = np.cumsum(steps) - steps
-        hit = np.flatnonzero((ids >= 0) & (self.term_begin[ids + 1] > self.term_begin[ids]))
-        hit = hit[ids[hit] >= 0]
+        hit = np.flatnonzero((ids >= 0) & (self.post_begin[ids + 1] > self.post_begin[ids]))
         if not len(hit):
             return []
         own = first_window[text_of[hit]] + (hit - starts[text_of[hit]]) // step
@@ -132,25 +172,10 @@ class Index:
         # A word counts once in a passage.
         key = np.unique(window * np.int64(len(self.terms)) + term)
         window, term = key // len(self.terms), key % len(self.terms)
-        # Blocks whose largest shares reach the threshold.
-        n = self.term_begin[term + 1] - self.term_begin[term]
-        at = np.repeat(self.term_begin[term] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        place = np.repeat(window, n) * self.n_blocks + self.block_of[at]
-        spots, back = np.unique(place, return_inverse=True)
-        bound = np.bincount(back, weights=self.block_max[at]) + self.block_pivot[spots % self.n_blocks]
-        live = (bound >= self.threshold - 1e-9)[back]
-        at, window = at[live], np.repeat(window, n)[live]
-        # Items of these blocks.
-        n = self.item_begin[at + 1] - self.item_begin[at]
-        post = np.repeat(self.item_begin[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        place = np.repeat(window, n) * len(self.items) + self.posted[post]
-        spots, back = np.unique(place, return_inverse=True)
-        total = np.bincount(back, weights=self.share[post]) if len(post) else np.zeros(0)
-        spots = spots[total + self.pivot[spots % len(self.items)] >= self.threshold - 1e-9]
+        windows, items = self.retrieve(window, term)
         best: dict[tuple[int, int], tuple] = {}
         window_text = np.repeat(np.arange(len(lists)), steps)
-        for spot in spots.tolist():
-            w, number = divmod(spot, len(self.items))
+        for w, number in sorted(zip(windows.tolist(), items.tolist())):
             t, item = int(window_text[w]), self.items[number]
             low = (w - int(first_window[t])) * step
             passage = lists[t][low : low + 2 * step]

@@ -553,6 +553,28 @@ def test_wand_loses_nothing():
     assert mine == want and want
 
 
+@pytest.mark.parametrize("threshold", [0.25, 0.6])
+@pytest.mark.parametrize("block", [1, 4, 16])
+def test_wand_on_long_lists(monkeypatch, threshold, block):
+    """Items of few words: lists are long, cursors skip blocks and meet again; ties in all shares."""
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(rng.choice(vocabulary[: rng.choice([10, 60])]) for _ in range(rng.randint(3, 12)))) for i in range(150)]
+    rows += [(200 + i, rows[i][1]) for i in range(10)]
+    ix = decontaminate.Index(rows, threshold, overlap=0.0)
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["", "nothing of these"]
+    mine = {(t, i.item_id) for t, i, *_ in ix.search(texts)}
+    want = set()
+    for t, text in enumerate(texts):
+        w = decontaminate.words(text)
+        for at in range(0, max(len(w), 1), ix.longest):
+            have = {ix.terms.get(x) for x in w[at : at + 2 * ix.longest]}
+            want |= {(t, it.item_id) for it in ix.items if sum(s for x, s in it.weights.items() if x in have) >= ix.threshold}
+    # The wider search holds answers and questions to nothing here.
+    assert mine == want and len(want) > 50
+
+
 def test_split_benchmark_scores_as_one(spark, monkeypatch):
     rng = random.Random(9)
     usual = [prose(1) for _ in range(40)]
