@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import sys
@@ -128,5 +129,6 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> Dat
 def give_back() -> None:
     """In a worker that an encoder ran in before: its cache goes, for operators that need the memory themselves."""
     used = sys.modules.get("lectern.llm.tokenization")
-    if used:
+    if used and used._ENCODERS:
         used._ENCODERS.clear()
+        gc.collect()

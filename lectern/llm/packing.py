@@ -88,13 +88,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return first + [(s, capacity) for s in range(rest, n, capacity)]
 
 
-def pieces_of(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity: int, added: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity: int, added: bool = False, cache: int | None = None) -> DataFrame:
     end = int(end_id).to_bytes(4, "little")
 
     def tokenise(batches):
         from lectern.llm.tokenization import encoder
 
-        enc, seen = encoder(vocabulary, kind, added), TaskContext.get().partitionId() << 40
+        enc, seen = encoder(vocabulary, kind, added, cache), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids, texts = batch.column(0)[at : at + 512].to_pylist(), batch.column(1)[at : at + 512].to_pylist()
@@ -128,15 +128,16 @@ def _pack_round(pieces: DataFrame, groups: int, capacity: int, number: int) -> D
     return pieces.withColumn("grp", spread).groupBy("grp").applyInArrow(pack, PACKED)
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 2, capacity: int = 1024, added: bool = False) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 2, capacity: int = 1024, added: bool = False, cache: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified, for every piece of every document.
 
     A null text is empty and gives a piece with the end id alone. Repeated rows are packed each for itself;
     a null doc_id stays null. An empty table gives an empty result. ``certified``: the piece's group
-    met its lower bound in the round that placed it. ``added``: see CachedEncoder. Other columns are ignored.
+    met its lower bound in the round that placed it. ``added``: see CachedEncoder; ``cache``: what
+    its worker remembers, which takes some 200 bytes an entry. Other columns are ignored.
     """
     ready(spark)
-    waiting = saved(pieces_of(docs, vocabulary, kind, end_id, capacity, added))
+    waiting = saved(pieces_of(docs, vocabulary, kind, end_id, capacity, added, cache))
     sizes = waiting.groupBy("length").count().collect()  # at most ``capacity`` rows
     counts = np.zeros(capacity + 1, np.int64)
     for r in sizes:

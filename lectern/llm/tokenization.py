@@ -14,7 +14,7 @@ import sys
 from array import array
 
 CACHE = 400_000
-_ENCODERS: dict[tuple[str, str, bool], "CachedEncoder"] = {}
+_ENCODERS: dict[tuple, "CachedEncoder"] = {}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -54,11 +54,11 @@ _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _BORDER = re.compile(r"(?= \S)")
 
 
-def encoder(path: str, kind: str, added: bool = False) -> "CachedEncoder":
-    """The worker's encoder for a vocabulary file; ``kind`` is ``byte`` or ``word``."""
-    key = (path, kind, added)
+def encoder(path: str, kind: str, added: bool = False, cache: int | None = None) -> "CachedEncoder":
+    """The worker's encoder for a vocabulary file; ``kind`` is ``byte`` or ``word``. ``cache``: entries of a generation, where not ``CACHE``."""
+    key = (path, kind, added, cache)
     if key not in _ENCODERS:
-        _ENCODERS[key] = CachedEncoder(path, kind, added)
+        _ENCODERS[key] = CachedEncoder(path, kind, added, cache)
     return _ENCODERS[key]
 
 
@@ -73,7 +73,7 @@ class CachedEncoder:
     they are text like any other (the library's ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str, kind: str, added: bool = False):
+    def __init__(self, path: str, kind: str, added: bool = False, cache: int | None = None):
         import regex
         from tokenizers import Tokenizer
 
@@ -86,6 +86,7 @@ class CachedEncoder:
         self.cut_added = re.compile("(%s)" % "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if tokens else None
         self.model = self.tok.model
         self.kind = kind
+        self.cache = cache or CACHE
         self.parts, self.parts_old, self.small, self.small_old = {}, {}, {}, {}
         tails = r"'s|'t|'re|'ve|'m|'ll|'d"
         byte = tails + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -129,7 +130,7 @@ class CachedEncoder:
                 got = self.small_old.pop(p, None)
                 if got is None:
                     got = _pack([t.id for t in self.model.tokenize(_map(p))])
-                if len(self.small) >= CACHE // 2:
+                if len(self.small) >= self.cache // 2:
                     self.small, self.small_old = {}, self.small
                 self.small[p] = got
             out.append(got)
@@ -155,7 +156,7 @@ class CachedEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if len(self.parts) >= CACHE:
+            if len(self.parts) >= self.cache:
                 self.parts, self.parts_old = {}, self.parts
             known = self.parts.get
             cut, before = self.split(text)
