@@ -1,7 +1,12 @@
 """The corpus pipeline: raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again
-as the next one's ``docs``. All but the last give the columns of ``documents``.
+as the next one's ``docs``. All but the last give the columns of ``documents``, and carry columns beyond these.
+
+Rows that aren't as they should be: a null or empty text, or one of white space alone, fails the quality rules; the later stages
+pass null texts on. ``near_dedup`` keeps rows without an id, and takes texts without words for copies of each other. Repeated rows are
+copies: one stays. ``pack`` gives a null or empty text a piece of its end id. Texts are taken whole, however long; a tie goes to the
+least id, and then to the least text. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their sequence and offset (operator 8)."""
-    return packing.pack_documents(spark, docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, added=True)
+    return packing.pack_documents(spark, docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, added=True, cache=150_000)  # workers also hold what other stages left
 
 
 STAGES = [
@@ -61,6 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     atexit.register(drop, folder)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        place = f"file://{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(place)
+        docs = spark.read.parquet(place)
     return docs
