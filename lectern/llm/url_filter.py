@@ -64,7 +64,9 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, default:
         F.sum(F.octet_length("rule") + 160).alias("bytes"),
     ).first()
     labels, lengths = size["labels"] or 0, sorted(size["lengths"] or [])
-    side = F.broadcast(ready) if (size["bytes"] or 0) <= BROADCAST_BYTES else ready
+    # A short prefix may be that of several rules: they come together, so an expression meets one row, and the full digest tells.
+    side = ready.groupBy("rule_prefix").agg(F.collect_list(F.struct("rule_digest", "rule", "rule_host", "rule_verdict")).alias("held"))
+    side = F.broadcast(side) if (size["bytes"] or 0) <= BROADCAST_BYTES else side
     base = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"))
     base = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     if not lengths:
@@ -75,7 +77,9 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, default:
     # posexplode: the expression numbered 0 counts its row, so repeated rows are told apart from expressions.
     seen = base.select("page_id", "url", "host", "path", F.posexplode(pairs).alias("at", "expression"))
     seen = seen.withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX))
-    met = seen.join(side, (F.col("prefix") == F.col("rule_prefix")) & (F.col("digest") == F.col("rule_digest")), "left")
+    met = seen.join(side, F.col("prefix") == F.col("rule_prefix"), "left")
+    hit = F.get(F.filter("held", lambda r: r["rule_digest"] == F.col("digest")), F.lit(0))
+    met = met.withColumn("hit", hit).select("page_id", "url", "host", "path", "at", "hit.*")
     best = F.max(
         F.when(
             F.col("rule").isNotNull(),

@@ -156,10 +156,11 @@ def verdict_of(url, rules, default):
     return host, path, best and best[2], best[3] if best else default
 
 
-@pytest.mark.parametrize("bound", [64 << 20, -1])
-def test_urls(spark, monkeypatch, bound):
+@pytest.mark.parametrize(("bound", "prefix"), [(64 << 20, 8), (-1, 8), (64 << 20, 1)])
+def test_urls(spark, monkeypatch, bound, prefix):
     from lectern.llm.queries import RULES
 
+    monkeypatch.setattr(url_filter, "PREFIX", prefix)  # of one digit: rules share it
     monkeypatch.setattr(url_filter, "BROADCAST_BYTES", bound)
     data = list(enumerate(URLS)) + [(3, URLS[4]), (4, URLS[4]), (None, URLS[5])]
     pages = spark.createDataFrame([(i, u, "h") for i, u in data], "page_id bigint, url string, host string")
