@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -12,6 +13,7 @@ from contextlib import contextmanager
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,9 +128,19 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> Dat
     return left.join(F.broadcast(crowd), key).unionByName(rest.join(right, key))
 
 
+def trim() -> None:
+    """A worker's freed memory goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def give_back() -> None:
-    """In a worker that an encoder ran in before: its cache goes, for operators that need the memory themselves."""
+    """At a task's start: an encoder's cache that another operator left in the worker goes, and freed memory with it."""
     used = sys.modules.get("lectern.llm.tokenization")
     if used and used._ENCODERS:
         used._ENCODERS.clear()
         gc.collect()
+    trim()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, saved
+from .common import give_back, ready, saved
 from .words import slices, words
 
 K1, B = 1.2, 0.75
@@ -254,6 +254,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
     for index in indexes(benchmark, threshold, overlap):
 
         def keep(batches, index=index):
+            give_back()
             for batch in batches:
                 texts = batch.column("text")
                 for low, high in slices(texts, _BLOCK):

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, saved, text_or_empty
+from .common import ready, saved, text_or_empty, trim
 
 #: Pieces that one task packs at a time.
 GROUP = 20_000
@@ -94,6 +94,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity
     def tokenise(batches):
         from lectern.llm.tokenization import encoder
 
+        trim()
         enc, seen = encoder(vocabulary, kind, added, cache), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

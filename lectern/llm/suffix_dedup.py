@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, ready, saved, scratch
+from .common import drop, give_back, partitions, ready, saved, scratch
 from .suffixes import LENGTH, anchors, characters, equal_classes, later_members, minima, runs, spread
 
 CHUNK = 8 << 20
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Pieces whose firsts meet in one group; more pieces make more levels.
 FAN = 4096
 #: Anchors (and bytes of windows) that a bucket is planned for.
-BUCKET_ANCHORS, BUCKET_BYTES = 1 << 19, 8 << 20
+BUCKET_ANCHORS, BUCKET_BYTES = 1 << 18, 4 << 20
 
 _LISTED = "chunk string, at int, doc_id bigint, digest binary, size bigint"
 
@@ -43,6 +43,7 @@ def write_chunks(docs: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
     """Chunk files with all columns; a row a document. A task names its own files, so a lost attempt's are never read."""
 
     def apply(batches):
+        give_back()
         held, size = [], 0
 
         def flush():
@@ -143,6 +144,7 @@ _HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tie", "<u8"), ("start", "<i8
 
 def _send_keys(chunks: DataFrame, folder: str, buckets: int, size: int) -> DataFrame:
     def apply(batches):
+        give_back()
         for batch in batches:
             for row in batch.to_pylist():
                 data, offsets = text_bytes(read_chunk(folder, row["chunk"]))
@@ -174,6 +176,7 @@ def _met_twice(keys: DataFrame, parts: int) -> DataFrame:
     """Keys that two pieces have, or one at two places, sent back to their chunks."""
 
     def apply(batches):
+        give_back()
         for _, rows in _grouped(batches, ["bucket"]):
             found = [np.frombuffer(r["data"], np.uint64) for r in rows]
             every = np.sort(np.concatenate(found))
@@ -216,6 +219,7 @@ def _send_windows(shared: DataFrame, chunks: DataFrame, folder: str, buckets: in
     """Local marks, and the windows of shared anchors that are the first in their piece."""
 
     def apply(batches):
+        give_back()
         for (name,), rows in _grouped(batches, ["chunk"]):
             keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["data"], np.uint64) for r in rows if r["data"] is not None]]))
             if not len(keys):
@@ -278,6 +282,7 @@ def _meet(sent: DataFrame, salts: int, next_salts: int, parts: int) -> DataFrame
     """Sort the windows that meet; marks for all but the first of each, which goes on to the next level if there is one."""
 
     def apply(batches):
+        give_back()
         for (bucket, _), rows in _grouped(batches, ["bucket", "salt"]):
             out = [(r["bucket"], r["salt"], 1, r["chunk"], r["data"], None) for r in rows if r["kind"] == 1]
             rows = [r for r in rows if r["kind"] == 0]
@@ -334,6 +339,7 @@ def _apply_marks(marks: DataFrame, chunks: DataFrame, folder: str, parts: int, f
     """``finish`` gets each chunk's table, bytes, offsets and mask of removed bytes, and gives a record batch."""
 
     def apply(batches):
+        give_back()
         for (name,), rows in _grouped(batches, ["chunk"]):
             table = read_chunk(folder, name)
             data, offsets = text_bytes(table)
