@@ -5,13 +5,13 @@ earlier in the same one) goes; strings are judged on the input. Nothing of the s
 is ever shuffled: equal strings share their anchor (the gram of least hash in them), so
 
 1. texts go into chunk files in the shared folder, and whole copies are told by digest;
-2. each piece of a chunk sends its distinct anchors' hashes, and those met twice come back;
-3. a piece sorts the windows of such anchors (deep-shallow, see ``suffixes``), marks what starts earlier in
-   the piece itself, and sends on the bytes of the windows that are its first;
-4. the firsts of all pieces meet by anchor, in as many levels as keep a meeting small, and are sorted again;
+2. each chunk sends its distinct anchors' hashes, and those met twice come back;
+3. a piece of a chunk sorts the windows of such anchors (deep-shallow, see ``suffixes``), marks what starts earlier in
+   the piece itself; the bytes of the windows that are its first are sent on, in one row a chunk and bucket;
+4. the firsts of all pieces meet by anchor, in as many levels as keep a meeting small, and are sorted again, some anchors at a time;
 5. marks go back to the chunks, which drop the bytes.
 
-A hot string is sent once a piece, not once an occurrence.
+A hot string is sent once a piece, not once an occurrence. Rows are as many as chunks times buckets, and each step takes a row once.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import atexit
 import hashlib
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,12 @@ CHUNK = 8 << 20
 PIECE = 1 << 20
 #: Pieces whose firsts meet in one group; more pieces make more levels.
 FAN = 4096
-#: Anchors (and bytes of windows) that a bucket is planned for.
-BUCKET_ANCHORS, BUCKET_BYTES = 1 << 18, 4 << 20
+#: Bytes of text whose anchors (and windows) a bucket is planned for.
+BUCKET_BYTES = 16 << 20
+#: Windows that are sorted at a time; one anchor's stay together.
+BLOCK = 1 << 18
+#: Bytes of a batch that is handed on.
+BATCH = 2 << 20
 
 _LISTED = "chunk string, at int, doc_id bigint, digest binary, size bigint"
 
@@ -124,18 +129,35 @@ def pieces(data: np.ndarray, offsets: np.ndarray, copies: np.ndarray, size: int)
 def _parted(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """(bucket, indexes) of the keys."""
     bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    return [(int(bucket[part[0]]), part) for part in np.split(order, cuts) if len(part)]
+    return _parted_by(bucket)
+
+
+def _parted_by(value: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort(value, kind="stable")
+    cuts = np.flatnonzero(np.diff(value[order])) + 1
+    return [(int(value[part[0]]), part) for part in np.split(order, cuts) if len(part)]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _batches(rows, schema: pa.Schema):
+    """Batches of about ``BATCH`` bytes of the rows, which may be made as they are taken."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= BATCH:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
 _KEYS = "chunk string, bucket int, data binary"
 _KEYS_SCHEMA = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("data", pa.binary())])
-# kind 0: windows of a piece; data has the headers, more the bytes. kind 1: marks of a chunk.
+# kind 0: windows of a chunk; data has the headers, more the bytes. kind 1: marks of a chunk.
 _SENT = "bucket int, salt int, kind int, chunk string, data binary, more binary"
 _SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("chunk", pa.string()), ("data", pa.binary()), ("more", pa.binary())])
 #: A stretch of windows of one anchor: its key, its document's id and digest, first window in the document and in the chunk, windows.
@@ -148,11 +170,10 @@ def _send_keys(chunks: DataFrame, folder: str, buckets: int, size: int) -> DataF
         for batch in batches:
             for row in batch.to_pylist():
                 data, offsets = text_bytes(read_chunk(folder, row["chunk"]))
-                for _, piece in pieces(data, offsets, np.array(row["copies"] or [], np.int64), size):
-                    keys = piece.anchor_keys()
-                    rows = [(row["chunk"], b, keys[i].tobytes()) for b, i in _parted(keys, buckets)]
-                    if rows:
-                        yield _batch(rows, _KEYS_SCHEMA)
+                every = np.sort(np.concatenate([np.zeros(0, np.uint64), *[piece.anchor_keys() for _, piece in pieces(data, offsets, np.array(row["copies"] or [], np.int64), size)]]))
+                keys, at, counts = np.unique(every & ~np.uint64(1), return_index=True, return_counts=True)
+                keys |= (every[at + counts - 1] & np.uint64(1)) | (counts > 1).astype(np.uint64)
+                yield from _batches(((row["chunk"], b, keys[i].tobytes()) for b, i in _parted(keys, buckets)), _KEYS_SCHEMA)
 
     return chunks.mapInArrow(apply, _KEYS)
 
@@ -173,7 +194,7 @@ def _grouped(batches, columns: list[str]):
 
 
 def _met_twice(keys: DataFrame, parts: int) -> DataFrame:
-    """Keys that two pieces have, or one at two places, sent back to their chunks."""
+    """Keys that two chunks have, or one at two places, sent back to their chunks."""
 
     def apply(batches):
         give_back()
@@ -186,15 +207,11 @@ def _met_twice(keys: DataFrame, parts: int) -> DataFrame:
             twice[1:] |= same
             twice[:-1] |= same
             wanted = np.unique(bare[twice | ((every & np.uint64(1)) == 1)])
-            out = []
-            for r, f in zip(rows, found):
-                f = f & ~np.uint64(1)
-                at = np.minimum(np.searchsorted(wanted, f), max(len(wanted) - 1, 0))
-                f = f[wanted[at] == f] if len(wanted) else f[:0]
-                if len(f):
-                    out.append((r["chunk"], r["bucket"], f.tobytes()))
-            if out:
-                yield _batch(out, _KEYS_SCHEMA)
+            if not len(wanted):
+                continue
+            bare = ((r, f & ~np.uint64(1)) for r, f in zip(rows, found))
+            back = ((r, f[wanted[np.minimum(np.searchsorted(wanted, f), len(wanted) - 1)] == f]) for r, f in bare)
+            yield from _batches(((r["chunk"], r["bucket"], f.tobytes()) for r, f in back if len(f)), _KEYS_SCHEMA)
 
     return keys.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(apply, _KEYS)
 
@@ -229,17 +246,22 @@ def _send_windows(shared: DataFrame, chunks: DataFrame, folder: str, buckets: in
             data, offsets = text_bytes(table)
             ids = table.column("doc_id").to_pylist()
             raw = memoryview(data)
-            for low, piece in pieces(data, offsets, copies, size):
-                yield from send_piece(name, low, piece, data, offsets, ids, raw, keys)
-
-    def send_piece(name, low, piece, data, offsets, ids, raw, keys):
+            marks, heads = zip(*(sort_piece(low, piece, offsets, ids, raw, keys) for low, piece in pieces(data, offsets, copies, size)))
+            salt = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "big") % salts
+            head = np.concatenate(heads)
+            out = ((b, salt, 0, name, head[some].tobytes(), b"".join([raw[p : p + n + LENGTH - 1] for p, n in zip(head["place"][some].tolist(), head["n"][some].tolist())])) for b, some in _parted(head["key"], buckets))
+            local = b"".join(marks)
+            yield from _batches(chain([(-1, _spread(name), 1, name, local, None)] if local else [], out), _SENT_SCHEMA)
+
+    def sort_piece(low, piece, offsets, ids, raw, keys):
+        """Marks of the windows that start earlier in the piece, and the stretches of those that don't."""
         window = piece.window_keys()
         turn = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])) if len(window) else np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(keys, window[turn]), len(keys) - 1)
         hot = np.repeat(keys[at] == window[turn], np.diff(np.concatenate([turn, [len(window)]]))) & piece.valid
         pos = np.flatnonzero(hot)
         if not len(pos):
-            return
+            return b"", np.zeros(0, _HEAD)
         doc = np.searchsorted(offsets, pos + low, "right") - 1
         # Documents of the piece in corpus order: id, then digest of the text.
         present = np.unique(doc)
@@ -249,27 +271,19 @@ def _send_windows(shared: DataFrame, chunks: DataFrame, folder: str, buckets: in
         place_of[order] = np.arange(len(order))
         rank = place_of[doc] * np.int64(1 << 40) + pos
         later = later_members(*equal_classes(piece.chars, pos, window[pos]), rank)
-        out = []
-        if len(later):
-            out.append((-1, _spread(name), 1, name, _marks(pos[later] + low), None))
+        marks = _marks(pos[later] + low)
         hot[pos[later]] = False
         pos = np.flatnonzero(hot)
-        if len(pos):
-            doc = np.searchsorted(offsets, pos + low, "right") - 1
-            new = np.concatenate([[True], (np.diff(pos) != 1) | (np.diff(doc) != 0) | (window[pos][1:] != window[pos][:-1])])
-            first = np.flatnonzero(new)
-            head = np.empty(len(first), _HEAD)
-            head["key"], head["n"] = window[pos[first]], np.diff(np.concatenate([first, [len(pos)]]))
-            d = doc[first]
-            head["doc"] = [_MIN if ids[k] is None else ids[k] for k in d.tolist()]
-            head["tie"] = [tie[k] for k in d.tolist()]
-            head["place"] = pos[first] + low
-            head["start"] = head["place"] - offsets[d]
-            salt = int.from_bytes(hashlib.blake2b(f"{name} {low}".encode(), digest_size=4).digest(), "big") % salts
-            for b, some in _parted(head["key"], buckets):
-                part = head[some]
-                out.append((b, salt, 0, name, part.tobytes(), b"".join([raw[p : p + n + LENGTH - 1] for p, n in zip(part["place"].tolist(), part["n"].tolist())])))
-        yield _batch(out, _SENT_SCHEMA)
+        doc = np.searchsorted(offsets, pos + low, "right") - 1
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(pos) != 1) | (np.diff(doc) != 0) | (window[pos][1:] != window[pos][:-1])]))
+        head = np.empty(len(first), _HEAD)
+        head["key"], head["n"] = window[pos[first]], np.diff(np.concatenate([first, [len(pos)]]))
+        d = doc[first]
+        head["doc"] = [_MIN if ids[k] is None else ids[k] for k in d.tolist()]
+        head["tie"] = [tie[k] for k in d.tolist()]
+        head["place"] = pos[first] + low
+        head["start"] = head["place"] - offsets[d]
+        return marks, head
 
     joined = shared.select("chunk", "data", F.lit(None).cast("array<int>").alias("copies")).unionByName(chunks.select("chunk", F.lit(None).cast("binary").alias("data"), "copies"))
     return joined.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(apply, _SENT)
@@ -278,63 +292,71 @@ def _send_windows(shared: DataFrame, chunks: DataFrame, folder: str, buckets: in
 _MIN = -(1 << 63)
 
 
+def _blocks(head: np.ndarray) -> list[np.ndarray]:
+    """Indexes of the stretches by anchor, cut between anchors after about ``BLOCK`` windows."""
+    order = np.argsort(head["key"], kind="stable")
+    key, before = head["key"][order], np.cumsum(head["n"][order]) - head["n"][order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    block = (before // BLOCK)[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    return np.split(order, np.flatnonzero(np.diff(block)) + 1)
+
+
+def _sorted(head: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that are alike in whether they start earlier: stretch, first window in it, windows, and whether they do."""
+    n = head["n"].astype(np.int64)
+    sizes = n + LENGTH - 1
+    of = np.repeat(np.arange(len(head)), n)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    by = np.lexsort((head["start"], head["tie"], head["doc"]))
+    place = np.empty(len(head), np.int64)
+    place[by] = np.arange(len(by))
+    # Stretches of one document don't overlap, so stretch order then step is corpus order.
+    rank = place[of] * np.int64(1 << 32) + step
+    gone = np.zeros(len(of), bool)
+    gone[later_members(*equal_classes(characters(data), (np.cumsum(sizes) - sizes)[of] + step, head["key"][of]), rank)] = True
+    at = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (gone[1:] != gone[:-1])]))
+    return of[at], step[at], np.diff(np.append(at, len(of))), gone[at]
+
+
 def _meet(sent: DataFrame, salts: int, next_salts: int, parts: int) -> DataFrame:
     """Sort the windows that meet; marks for all but the first of each, which goes on to the next level if there is one."""
 
     def apply(batches):
         give_back()
-        for (bucket, _), rows in _grouped(batches, ["bucket", "salt"]):
-            out = [(r["bucket"], r["salt"], 1, r["chunk"], r["data"], None) for r in rows if r["kind"] == 1]
-            rows = [r for r in rows if r["kind"] == 0]
-            if rows:
-                heads = [np.frombuffer(r["data"], _HEAD) for r in rows]
-                head = np.concatenate(heads)
-                owner = np.repeat(np.arange(len(rows)), [len(h) for h in heads])
-                data = np.frombuffer(b"".join([r["more"] for r in rows]), np.uint8)
-                sizes = head["n"].astype(np.int64) + LENGTH - 1
-                begin = np.cumsum(sizes) - sizes
-                n = head["n"].astype(np.int64)
-                of = np.repeat(np.arange(len(head)), n)
-                step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                pos = begin[of] + step
-                by = np.lexsort((head["start"], head["tie"], head["doc"]))
-                place = np.empty(len(head), np.int64)
-                place[by] = np.arange(len(by))
-                # Stretches of one document don't overlap, so stretch order then step is corpus order.
-                rank = place[of] * np.int64(1 << 32) + step
-                later = later_members(*equal_classes(characters(data), pos, head["key"][of]), rank)
-                gone = np.zeros(len(pos), bool)
-                gone[later] = True
-                where = head["place"][of] + step
-                for k in np.unique(owner[of[later]]).tolist():
-                    mine = later[owner[of[later]] == k] if len(rows) > 1 else later
-                    out.append((-1, _spread(rows[k]["chunk"]), 1, rows[k]["chunk"], _marks(where[mine]), None))
-                if next_salts:
-                    out += _pass_on(rows, head, owner, data, begin, of, step, gone, bucket, salts, next_salts)
-            if out:
-                yield _batch(out, _SENT_SCHEMA)
+        for (bucket, salt), rows in _grouped(batches, ["bucket", "salt"]):
+            yield from _batches(((bucket, salt, 1, r["chunk"], r["data"], None) for r in rows if r["kind"] == 1), _SENT_SCHEMA)
+            if rows := [r for r in rows if r["kind"] == 0]:
+                yield from _batches(met(bucket, salt, [r["chunk"] for r in rows], [r["data"] for r in rows], [memoryview(r["more"]) for r in rows]), _SENT_SCHEMA)
+
+    def met(bucket, salt, chunks, heads, more):
+        owner = np.repeat(np.arange(len(heads)), [len(h) // _HEAD.itemsize for h in heads])
+        head = np.frombuffer(b"".join(heads), _HEAD)
+        sizes = head["n"].astype(np.int64) + LENGTH - 1
+        begin = np.cumsum(sizes) - sizes
+        begin -= begin[np.searchsorted(owner, owner)]
+        marks, firsts = [], []
+        for some in _blocks(head):
+            data = b"".join([more[k][a : a + n] for k, a, n in zip(owner[some].tolist(), begin[some].tolist(), sizes[some].tolist())])
+            of, step, n, gone = _sorted(head[some], np.frombuffer(data, np.uint8))
+            at = some[of]
+            marks.append((owner[at[gone]], np.stack([head["place"][at] + step, n], 1)[gone]))
+            if next_salts:
+                part = head[at]
+                part["place"] += step
+                part["start"] += step
+                part["n"] = n
+                firsts.append((owner[at[~gone]], (begin[at] + step)[~gone], part[~gone]))
+        who, runs_ = (np.concatenate(x) for x in zip(*marks))
+        for k, some in _parted_by(who):
+            yield -1, _spread(chunks[k]), 1, chunks[k], runs_[some].astype("<i8").tobytes(), None
+        if next_salts:
+            who, at, part = (np.concatenate(x) for x in zip(*firsts))
+            for k, some in _parted_by(who):
+                yield bucket, salt % next_salts, 0, chunks[k], part[some].tobytes(), b"".join([more[k][a : a + n + LENGTH - 1] for a, n in zip(at[some].tolist(), part["n"][some].tolist())])
 
     return sent.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(apply, _SENT)
 
 
-def _pass_on(rows, head, owner, data, begin, of, step, gone, bucket, salts, next_salts):
-    left = np.flatnonzero(~gone)
-    if not len(left):
-        return []
-    new = np.concatenate([[True], (np.diff(left) != 1) | (np.diff(of[left]) != 0)])
-    first = left[np.flatnonzero(new)]
-    part = head[of[first]].copy()
-    part["n"] = np.diff(np.concatenate([np.flatnonzero(new), [len(left)]]))
-    part["place"] += step[first]
-    part["start"] += step[first]
-    who, raw, out = owner[of[first]], memoryview(data), []
-    at = begin[of[first]] + step[first]
-    for k in np.unique(who).tolist():
-        mine = np.flatnonzero(who == k)
-        out.append((bucket, rows[k]["salt"] % next_salts, 0, rows[k]["chunk"], part[mine].tobytes(), b"".join([raw[a : a + n + LENGTH - 1] for a, n in zip(at[mine].tolist(), part["n"][mine].tolist())])))
-    return out
-
-
 def _apply_marks(marks: DataFrame, chunks: DataFrame, folder: str, parts: int, finish, schema) -> DataFrame:
     """``finish`` gets each chunk's table, bytes, offsets and mask of removed bytes, and gives a record batch."""
 
@@ -397,7 +419,7 @@ def _run(spark: SparkSession, docs: DataFrame, finish, schema, fan: int, chunk:
         return listed.sparkSession.createDataFrame([], schema)
     chunks = saved(sizes.join(copies, "chunk", "left").select("chunk", "copies").repartition(partitions(spark), "chunk"))
     parts = partitions(spark)
-    buckets = max(parts, -(-total["bytes"] // (BUCKET_ANCHORS * 30)), -(-total["bytes"] // BUCKET_BYTES))
+    buckets = max(parts, -(-total["bytes"] // BUCKET_BYTES))
     levels = 1
     while fan**levels < total["pieces"]:
         levels += 1

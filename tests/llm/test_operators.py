@@ -665,6 +665,40 @@ def test_suffix_dedup(spark, repeats, how):
     assert got(suffix_dedup.removed_bytes(spark, df, **how)) == brute_removed(repeats)
 
 
+def test_suffix_rows_are_chunks_times_buckets(spark, repeats, monkeypatch):
+    """However many pieces a chunk has, it sends one row to a bucket."""
+    df = spark.createDataFrame(repeats, "doc_id bigint, text string").repartition(2)
+    steps = {"_send_keys": [], "_send_windows": [], "_meet": []}
+
+    def watch(name):
+        step = getattr(suffix_dedup, name)
+
+        def watched(*how):
+            out = step(*how)
+            kind = ["kind"] if "kind" in out.columns else []
+            steps[name].append(out.groupBy("bucket", "chunk", *kind).count().agg({"count": "max"}).first()[0])
+            return out
+
+        monkeypatch.setattr(suffix_dedup, name, watched)
+
+    for name in steps:
+        watch(name)
+    assert got(suffix_dedup.removed_bytes(spark, df, fan=1 << 20, piece=200, chunk=4000)) == brute_removed(repeats)
+    assert steps["_send_keys"] == [1] and steps["_send_windows"] == [1]
+
+
+def test_suffix_blocks_keep_anchors_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    head = np.zeros(500, suffix_dedup._HEAD)
+    head["key"], head["n"] = rng.integers(0, 40, 500), rng.integers(1, 30, 500)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 600)
+    blocks = suffix_dedup._blocks(head)
+    keys = [set(head["key"][b].tolist()) for b in blocks]
+    assert len(blocks) > 5 and sum(map(len, keys)) == 40
+    assert sorted(np.concatenate(blocks).tolist()) == list(range(500))
+    assert max(head["n"][b].sum() for b in blocks) < 600 + max(head["n"][head["key"] == k].sum() for k in range(40))
+
+
 def test_remove_repeats(spark, repeats, empty):
     df = spark.createDataFrame([(d, t, 9) for d, t in repeats], "doc_id bigint, text string, n_bytes int")
     out = suffix_dedup.remove_repeats(spark, df)
