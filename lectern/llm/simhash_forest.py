@@ -23,6 +23,8 @@ sent on. Candidates are verified on their whole sets, each node's nearest first
 pair fails, the pairs that its nodes stood for are verified as well, as far as their signatures allow. Classes are the
 components of verified pairs.
 
+Sets to verify go in groups: nodes with a partner in common are held together, and a set is sent once to each group that it has partners in.
+
 Entries of the tries are three numbers (label, rest of the label, node number), so the forest shuffles 24 bytes an entry and never a text.
 """
 
@@ -52,7 +54,8 @@ ENTRY = 2000
 SMALL = 40
 #: Bytes of a window's hash that a set is verified by: two unlike windows of a pair agree in one of 10**7 pairs of usual size.
 SHOWN = 5
-STAR = 2000
+#: Sets that a group holds to be compared with those sent to it, and their bytes.
+STAR, STAR_BYTES = 256, 4 << 20
 #: Pairs of a node that are verified in each round; the last has all that are left.
 NEAREST = (2, 8, None)
 #: A node stands for others that are as near as sets of this similarity are.
@@ -455,34 +458,45 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) with the Jaccard similarity of their whole sets.
+def _groups(pairs: DataFrame, data: DataFrame) -> DataFrame:
+    """(hub, salt, b, partners, data) of pairs (a, b), ``data`` (node, data) being what nodes bring along.
 
-    A node's set meets the sets of its partners in sorted order, one partner at a time in memory; a node with over
-    ``STAR`` partners is copied to as many groups as it needs.
+    Nodes ``a`` are held in groups by their partner of most pairs, up to ``STAR`` nodes or ``STAR_BYTES`` as planned: a row
+    each, without b. A ``b`` has one row for each group that it has partners in.
     """
-    many = pairs.groupBy("a").agg((F.floor((F.count("*") - 1) / STAR) + 1).cast("int").alias("salts"))
-    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    of_b = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "shingles")
-    of_a = sets.withColumnRenamed("node", "a").join(many, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "shingles")
+    degree = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    hub = pairs.join(degree, "b").groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("hub"))
+    sized = saved(hub.join(data.select(F.col("node").alias("a"), F.length("data").alias("bytes")), "a", "left"))
+    salts = sized.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / STAR, F.sum("bytes") / STAR_BYTES)).alias("salts"))
+    held = saved(sized.join(salts, "hub").select("a", "hub", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")).distinct())
+    of_b = pairs.join(held, "a").groupBy("hub", "salt", "b").agg(F.collect_list("a").alias("partners")).join(data.withColumnRenamed("node", "b"), "b").select("hub", "salt", "b", "partners", "data")
+    of_a = held.join(data.withColumnRenamed("node", "a"), "a").select("hub", "salt", F.lit(None).cast("binary").alias("b"), F.array("a").alias("partners"), "data")
+    return of_b.unionByName(of_a)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b) with the Jaccard similarity of their whole sets; a group's sets and one more are in memory."""
 
     def apply(batches):
-        own, base = None, None
+        key, own = None, {}
         for batch in batches:
             rows = []
-            for a, b, data in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles").to_pylist()):
+            for hub, salt, b, partners, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (hub, salt) != key:
+                    key, own = (hub, salt), {}
                 found = unpacked(data)
                 if b is None:
-                    own, base = a, found
-                elif a == own:
-                    both = len(np.intersect1d(base, found, assume_unique=True))
-                    rows.append((a, b, both / (len(base) + len(found) - both)))
-                else:
-                    raise ValueError("a pair came without its first node's set")
+                    own[partners[0]] = found
+                    continue
+                sizes = np.array([len(own[a]) for a in partners])
+                flat = np.concatenate([own[a] for a in partners])
+                met = found[np.minimum(np.searchsorted(found, flat), len(found) - 1)] == flat
+                both = np.add.reduceat(met, np.cumsum(sizes) - sizes, dtype=np.int64)
+                rows += zip(partners, [b] * len(partners), (both / (sizes + len(found) - both)).tolist())
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.binary(), pa.binary(), pa.float64()])], names=["a", "b", "jaccard"])
 
-    together = of_b.unionByName(of_a).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    together = _groups(pairs, sets.withColumnRenamed("shingles", "data")).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("b").asc_nulls_first())
     return together.mapInArrow(apply, "a binary, b binary, jaccard double")
 
 
@@ -548,6 +562,17 @@ def _judge(compared: DataFrame, sets: DataFrame, known: DataFrame, similarity: f
     return roots, lost
 
 
+def _stood_for(lost: DataFrame, close: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that the ends of ``lost`` stand for, by ``close`` (a for x, itself included).
+
+    An end at a time, each pair once: of a large group most come by many failed pairs.
+    """
+    for end, other in ("ab", "ba"):
+        of = close.select(F.col("a").alias(end), "x")
+        lost = lost.join(of, end, "left").select(F.coalesce("x", end).alias(end), other).distinct()
+    return lost.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _classified(spark: SparkSession, docs: DataFrame, similarity: float, recall: float, alike: bool = False) -> tuple[DataFrame, DataFrame]:
     """The marks of all rows, and node, doc_id (the least of the node), rows, class_id, class_size and root (the class) of every node."""
     ready(spark)
@@ -569,8 +594,7 @@ def _classified(spark: SparkSession, docs: DataFrame, similarity: float, recall:
     # Where a pair fails, those pairs are verified as well that weren't sent on as their nodes stood for others in it.
     close = pairs.where("tight").select("a", F.col("b").alias("x")).distinct()
     close = saved(close.unionByName(close.select("a", F.col("a").alias("x")).distinct()))
-    others = _across(lost, roots).join(close.select("a", F.col("x").alias("xa")), "a", "left").join(close.select(F.col("a").alias("b"), F.col("x").alias("xb")), "b", "left").where("xa is not null or xb is not null")
-    others = _across(others.select(F.coalesce("xa", "a").alias("a"), F.coalesce("xb", "b").alias("b")), roots)
+    others = _across(_stood_for(saved(_across(lost, roots)), close), roots)
     again = _fit(others, fine, "node", similarity, recall).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
     linked = saved(verify(saved(again), sets, parts).where(F.col("jaccard") >= similarity).select("a", "b"))
     if not linked.isEmpty():

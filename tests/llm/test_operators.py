@@ -230,6 +230,20 @@ def test_near_duplicates(spark, monkeypatch, hot):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({x[1] for x in mine if x[1] is not None})
 
 
+def test_sets_are_sent_once_a_group(spark, monkeypatch):
+    """Of 40 nodes that all meet each other, a set goes to each group of ten, and not to each pair."""
+    monkeypatch.setattr(simhash_forest, "STAR", 10)
+    rng = np.random.default_rng(9)
+    sets = {bytes([k]) * 16: np.unique(rng.integers(0, 300, 200).astype(np.uint64)) for k in range(40)}
+    keys = sorted(sets)
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]], "a binary, b binary")
+    shown = spark.createDataFrame([(k, simhash_forest.packed(v)) for k, v in sets.items()], "node binary, shingles binary")
+    groups = simhash_forest._groups(pairs, shown.withColumnRenamed("shingles", "data")).collect()
+    assert len(groups) <= 39 + 39 * 5
+    out = {(bytes(r["a"]), bytes(r["b"])): r["jaccard"] for r in simhash_forest.verify(pairs, shown, 3).collect()}
+    assert out == {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for i, a in enumerate(keys) for b in keys[i + 1 :]}
+
+
 def test_keep_one_of_repeated_ids(spark):
     one, two, three = prose(80), prose(80), prose(80)
     # 5 has a text of its own, a copy of 1 and a text that 7 copies.
