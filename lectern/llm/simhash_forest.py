@@ -562,15 +562,86 @@ def _judge(compared: DataFrame, sets: DataFrame, known: DataFrame, similarity: f
     return roots, lost
 
 
-def _stood_for(lost: DataFrame, close: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that the ends of ``lost`` stand for, by ``close`` (a for x, itself included).
-
-    An end at a time, each pair once: of a large group most come by many failed pairs.
+#: What goes along with a node: one that it stands for, that one's component, size and signature.
+_MEMBER = np.dtype([("node", "V16"), ("root", ">u8", (2,)), ("size", ">i4"), ("sig", ">u8", (4,))])
+
+
+class Kin:
+    """Pairs of members of nodes that are held and of nodes that are sent to them, each once, where components differ and sizes and signatures fit."""
+
+    def __init__(self, similarity: float, near: int, most: int = 1 << 22):
+        self.similarity, self.near, self.most = similarity, near, most
+        self.own: dict[bytes, np.ndarray] = {}
+        self.held, self.at = None, {}
+        self.sent: dict[bytes, int] = {}
+        self.codes, self.fresh = np.zeros(0, np.int64), []
+
+    def hold(self, node: bytes, data: bytes) -> None:
+        self.own[node] = np.frombuffer(data, _MEMBER)
+
+    def meet(self, partners: list[bytes], data: bytes):
+        if self.held is None:
+            every = np.concatenate(list(self.own.values()))
+            _, first, ids = np.unique(np.ascontiguousarray(every["node"]), return_index=True, return_inverse=True)
+            self.held = every[first]
+            self.at = dict(zip(self.own, np.split(ids.reshape(-1), np.cumsum([len(x) for x in self.own.values()])[:-1])))
+        rows, you = np.unique(np.concatenate([self.at[a] for a in partners])), np.frombuffer(data, _MEMBER)
+        ids = np.array([self.sent.setdefault(data[k : k + 16], len(self.sent)) for k in range(0, len(data), _MEMBER.itemsize)])
+        size, sig = you["size"].astype(np.int64), you["sig"].astype(np.uint64)
+        step = max(1, (1 << 16) // len(you))
+        for low in range(0, len(rows), step):
+            me = self.held[rows[low : low + step]]
+            own = me["size"].astype(np.int64)[:, None]
+            ok = np.minimum(own, size) >= self.similarity * np.maximum(own, size)
+            ok &= (me["root"][:, None] != you["root"]).any(2)
+            ok &= np.bitwise_count(me["sig"].astype(np.uint64)[:, None] ^ sig).sum(2, dtype=np.int64) <= self.near
+            i, j = np.nonzero(ok)
+            self.fresh.append(rows[low + i] << 32 | ids[j])
+        if sum(map(len, self.fresh)) > self.most // 4:
+            self.codes, self.fresh = np.unique(np.concatenate([self.codes, *self.fresh])), []
+            if len(self.codes) > self.most:
+                yield from self.found()
+
+    def found(self):
+        """Batches (a, b) of what was found so far."""
+        codes = np.unique(np.concatenate([self.codes, *self.fresh]))
+        self.codes, self.fresh = codes[:0], []
+        if len(codes):
+            nodes = np.frombuffer(b"".join(self.sent), "V16")
+            columns = [np.ascontiguousarray(self.held["node"])[codes >> 32], nodes[codes & 0xFFFFFFFF]]
+            for low in range(0, len(codes), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in (c[low : low + (1 << 16)] for c in columns)], names=["a", "b"])
+
+
+def _stood_for(lost: DataFrame, close: DataFrame, fine: DataFrame, roots: DataFrame, similarity: float, recall: float, parts: int) -> DataFrame:
+    """Pairs (a, b) of nodes that the ends of ``lost`` stand for, by ``close`` (a for x, itself included), where components differ and sizes and whole signatures fit.
+
+    Most such pairs come by many failed pairs, so they are made distinct in the groups in which they are found.
     """
-    for end, other in ("ab", "ba"):
-        of = close.select(F.col("a").alias(end), "x")
-        lost = lost.join(of, end, "left").select(F.coalesce("x", end).alias(end), other).distinct()
-    return lost.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = lost.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(close.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("x", "node").alias("x"))
+    number = lambda c, digits: F.lpad(F.hex(c), digits, "0")
+    shown = F.concat(F.hex("x"), F.hex(F.coalesce("root", "x")), number("size", 8), *[number(c, 16) for c in _SIG])
+    members = members.join(fine.withColumnRenamed("node", "x"), "x").join(roots.withColumnRenamed("node", "x"), "x", "left").select("node", shown.alias("shown"))
+    members = saved(members.groupBy("node").agg(F.unhex(F.concat_ws("", F.collect_list("shown"))).alias("data")))
+    near = reach(similarity, recall)
+
+    def apply(batches):
+        key, kin = None, None
+        for batch in batches:
+            for hub, salt, b, partners, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (hub, salt) != key:
+                    if kin:
+                        yield from kin.found()
+                    key, kin = (hub, salt), Kin(similarity, near)
+                if b is None:
+                    kin.hold(partners[0], data)
+                else:
+                    yield from kin.meet(partners, data)
+        if kin:
+            yield from kin.found()
+
+    together = _groups(lost, members).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("b").asc_nulls_first())
+    return together.mapInArrow(apply, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _classified(spark: SparkSession, docs: DataFrame, similarity: float, recall: float, alike: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -594,8 +665,7 @@ def _classified(spark: SparkSession, docs: DataFrame, similarity: float, recall:
     # Where a pair fails, those pairs are verified as well that weren't sent on as their nodes stood for others in it.
     close = pairs.where("tight").select("a", F.col("b").alias("x")).distinct()
     close = saved(close.unionByName(close.select("a", F.col("a").alias("x")).distinct()))
-    others = _across(_stood_for(saved(_across(lost, roots)), close), roots)
-    again = _fit(others, fine, "node", similarity, recall).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+    again = _stood_for(saved(_across(lost, roots)), close, fine, roots, similarity, recall, parts).join(compared, ["a", "b"], "left_anti")
     linked = saved(verify(saved(again), sets, parts).where(F.col("jaccard") >= similarity).select("a", "b"))
     if not linked.isEmpty():
         roots = components(linked.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))

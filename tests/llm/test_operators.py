@@ -244,6 +244,34 @@ def test_sets_are_sent_once_a_group(spark, monkeypatch):
     assert out == {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for i, a in enumerate(keys) for b in keys[i + 1 :]}
 
 
+@pytest.mark.parametrize("most", [1 << 22, 50])
+def test_kin_are_the_pairs_that_fit(most):
+    """Members of nodes that failed, against all pairs; those that many failed pairs lead to are given once."""
+    rng = np.random.default_rng(10)
+    every = np.zeros(60, simhash_forest._MEMBER)
+    every["node"] = np.frombuffer(rng.bytes(16 * 60), "V16")
+    every["root"][:, 1], every["size"] = rng.integers(0, 12, 60), rng.integers(80, 120, 60)
+    every["sig"] = rng.integers(0, 1 << 63, 4).astype(np.uint64) ^ (np.uint64(1) << rng.integers(0, 60, (60, 4)).astype(np.uint64))
+    close = [rng.choice(60, 8, False) for _ in range(20)]
+    lost = {(int(a), int(b)) for a, b in rng.integers(0, 20, (150, 2)) if a < b}
+    kin = simhash_forest.Kin(0.8, 6, most)
+    for a in {a for a, _ in lost}:
+        kin.hold(bytes([a]), every[close[a]].tobytes())
+    out = []
+    for b in {b for _, b in lost}:
+        out += kin.meet([bytes([x]) for x, y in lost if y == b], every[close[b]].tobytes())
+    out += kin.found()
+    mine = [(a, b) for batch in out for a, b in zip(*(c.to_pylist() for c in batch.columns))]
+
+    def fits(x, y):
+        apart = sum(int(i ^ j).bit_count() for i, j in zip(x["sig"].tolist(), y["sig"].tolist()))
+        return tuple(x["root"]) != tuple(y["root"]) and min(x["size"], y["size"]) >= 0.8 * max(x["size"], y["size"]) and apart <= 6
+
+    want = {(every["node"][x].tobytes(), every["node"][y].tobytes()) for a, b in lost for x in close[a] for y in close[b] if fits(every[x], every[y])}
+    assert want and set(mine) == want
+    assert most == 50 or len(mine) == len(want)
+
+
 def test_keep_one_of_repeated_ids(spark):
     one, two, three = prose(80), prose(80), prose(80)
     # 5 has a text of its own, a copy of 1 and a text that 7 copies.
