@@ -97,8 +97,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity
         trim()
         enc, seen = encoder(vocabulary, kind, added, cache), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids, texts = batch.column(0)[at : at + 512].to_pylist(), batch.column(1)[at : at + 512].to_pylist()
+            for at in range(0, batch.num_rows, 2048):
+                ids, texts = batch.column(0)[at : at + 2048].to_pylist(), batch.column(1)[at : at + 2048].to_pylist()
                 rows = []
                 for d, e in zip(ids, enc.encode(texts)):
                     e += end

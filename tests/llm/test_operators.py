@@ -479,6 +479,30 @@ def test_encoder_finds_added_tokens(name, kind):
         assert np.frombuffer(e, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_parts_are_looked_up_once_for_all_texts():
+    path = vocab.path("byte_bpe_50k.json")
+    plain = tokenizers.Tokenizer.from_file(path)  # left at its defaults
+    mine = CachedEncoder(path, "byte", added=True, cache=50)
+    calls, model = [], mine.model
+
+    class Counting:
+        def tokenize(self, piece):
+            calls.append(piece)
+            return model.tokenize(piece)
+
+    mine.model = Counting()
+    words = [f"{a}{b}{c}" for a in ("qu", "zé", "Wo") for b in ("rta", "lm", "xie", "pf") for c in ("n", "sch", "ô", "rr", "ed")]
+    rng = random.Random(6)
+    texts = ["the " + " ".join(w + rng.choice(["", ",", "."]) for w in words) for _ in range(30)]
+    for t, e in zip(texts, mine.encode(texts)):
+        assert np.frombuffer(e, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert len(calls) <= 2 * len(words)  # beside the words: the first, commas and full stops, words at the ends
+    some = ["a", "É", "bc", " a", " É", " bc", " x", ", ", ". ", ",", ".", ".\n", ",\n", "\n", "\n", "\n\n", "\t", "\u00a0", "\x1c", " 1", "'s", "'", " '", ";", "漢", "ª", "\u02b0", "\u0301", "<|endoftext|>"]
+    odd = ["".join(rng.choice(some) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    for t, e in zip(odd, mine.encode(odd)):
+        assert np.frombuffer(e, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes(bits, tmp_path):
     rng = np.random.default_rng(3)
