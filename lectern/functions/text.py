@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import similarity as ratcliff
+
+cloudpickle.register_pickle_by_value(ratcliff)  # it goes with the tasks: executors need no path to this package
+
 WORD = r"([\p{L}\p{Nl}\p{No}]{2,})"
 #: White space as Python's str.split() sees it, the plain space aside.
 _WHITE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " ")
@@ -67,9 +72,7 @@ def casefold(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else ratcliff.ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(T.IntegerType())

@@ -14,6 +14,7 @@ from .functions import patterns
 from .functions import text as tx
 from .operators import kernels as k
 from .sources.pages import page_facts
+from .sources.shared import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -349,7 +350,7 @@ def paint_order_lis(spark, sf_dir):
 @query(None)
 def actualtext_ratio(spark, sf_dir):
     """Similarity of each turn's letters with the turn before; the measure has no SQL form."""
-    c = _table(spark, sf_dir, "conversations")
+    c = spread(_table(spark, sf_dir, "conversations"), "conv_id")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     return c.withColumn("before", before).where("before is not null").select("conv_id", "turn", tx.similarity(tx.letters(F.col("text")), tx.letters(F.col("before"))).alias("ratio"))
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import spread
 from .maker import Annot, E, N, T, make, table, th
 
 #: What make() is told where a key has the defect.
@@ -60,13 +61,6 @@ def statement(key: int, name: str) -> bytes:
     return make(tree, size=(612, 1584), **settings)
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """A row becomes a file that takes 10 ms to make and read, so rows go to all cores; a table's scan has a task for 128 MB, which is millions of them."""
-    spark = rows.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(n, rows.columns[0])
-
-
 def statements(rows: DataFrame, key: Column, name: Column, folder: str) -> DataFrame:
     """(doc_id, path, content) of a statement for each row, made and read by all cores."""
 
@@ -77,7 +71,7 @@ def statements(rows: DataFrame, key: Column, name: Column, folder: str) -> DataF
                 keys, names = (c[at : at + 256].to_pylist() for c in batch.columns)
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{k}.pdf" for k in keys]), pa.array([statement(k, n or "") for k, n in zip(keys, names)], pa.binary())], schema=schema)
 
-    made = _spread(rows.select(key.cast("bigint"), name)).mapInArrow(apply, "path string, content binary")
+    made = spread(rows.select(key.cast("bigint").alias("key"), name), "key").mapInArrow(apply, "path string, content binary")
     return made.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 

@@ -18,6 +18,12 @@ def root(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), f"lectern-{spark.sparkContext.applicationId}")
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Rows that take milliseconds each, for all cores: by bytes a scan or an adaptive shuffle makes a few tasks of them, one for each core at best."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), by)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
